@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quayside.workspace import written
@@ -55,17 +55,14 @@ def join_by_key(
 def numbered(df: DataFrame, order: Sequence[str], name: str, label: str) -> DataFrame:
     """`df` written as a table sorted by `order`, with gapless numbers from 0 in that order.
 
-    Ranges of the order go to separate tasks; only one count per task is gathered.
+    Ranges of the order go to separate tasks; one count per task is gathered.
     """
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
     kept = written(ranged.withColumn("_m", F.monotonically_increasing_id()), label)
     part = F.shiftright("_m", 33)
-    counts = kept.groupBy(part.alias("_p")).agg(F.count(F.lit(1)).alias("_n")).collect()
-    starts, at = [], 0
-    for row in sorted(counts):
-        starts.append((row["_p"], at))
-        at += row["_n"]
-    offsets = F.broadcast(df.sparkSession.createDataFrame(starts, "_p bigint, _at bigint"))  # one row per task
+    counts = kept.groupBy(part.alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = F.broadcast(counts.select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_at")))  # one row per task
     return (
         kept.join(offsets, part == F.col("_p"))
         .withColumn(name, F.col("_at") + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)))
@@ -73,6 +70,16 @@ def numbered(df: DataFrame, order: Sequence[str], name: str, label: str) -> Data
     )
 
 
+SMALL_ROWS = 100_000
+
+
+def attach(left: DataFrame, right: DataFrame, key: str, rows: str, spread: Column) -> DataFrame:
+    """`join_by_key`, by a plain broadcast where `right` (narrow, written) has few rows."""
+    if right.limit(SMALL_ROWS + 1).count() > SMALL_ROWS:
+        return join_by_key(left, right, key, rows, spread)
+    return left.join(F.broadcast(right), key, "left").select(*left.columns, *[c for c in right.columns if c != key])
+
+
 def components(links: DataFrame, label: str = "component") -> DataFrame:
     """`(node, component)` for every node of `links(a, b)`; component is the smallest node reached.
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quayside.llm import exact_dedup, packing
+from quayside.llm import exact_dedup, mixing, packing, quality_rules
 from quayside.llm._shared import table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -18,6 +18,16 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with the base counts and the verdict of line-first cleaning."""
+    return quality_rules.quality(table(spark, sf_dir, "documents")).drop("cleaned")
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with the words that the mix takes of each."""
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with the row that stays for each."""
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
@@ -25,6 +35,8 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op2_quality_rules": op2_quality_rules,
+    "op6_mixing": op6_mixing,
     "op8_exact_dedup": op8_exact_dedup,
 }
 
