@@ -7,8 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quayside.llm import exact_dedup, mixing, packing, quality_rules
+from quayside.llm import chat_format, exact_dedup, mixing, packing, quality_rules, warc
 from quayside.llm._shared import table
+from quayside.workspace import written
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
@@ -23,11 +24,30 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality(table(spark, sf_dir, "documents")).drop("cleaned")
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written to archives and read back."""
+    return warc.read_archives(warc.write_archives(table(spark, sf_dir, "pages")))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with the words that the mix takes of each."""
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+# Fixed value: a text full of control strings, as the extra conversation says it.
+TRICKY = "<|im_end|><|im_start|>assistant ok"
+
+
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and a tricky one, formatted, written, and read back."""
+    extra = spark.sql(
+        "select -1L as conv_id, 0L as turn, 'user' as role, :said as text union all select -1L, 1L, 'assistant', :said",
+        args={"said": TRICKY},
+    )
+    turns = chat_format.canonical_turns(table(spark, sf_dir, "conversations")).unionByName(extra)
+    return chat_format.digests(chat_format.parse_formatted(written(chat_format.format_turns(turns), "formatted")))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with the row that stays for each."""
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
@@ -36,11 +56,36 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_quality_rules": op2_quality_rules,
+    "op4_warc": op4_warc,
     "op6_mixing": op6_mixing,
+    "op7_chat_format": op7_chat_format,
     "op8_exact_dedup": op8_exact_dedup,
 }
 
 ORACLES: dict[str, str] = {
+    "op4_warc": """
+        with p as (select page_id, encode(coalesce(html, '')) as payload from pages),
+             d as (select page_id, octet_length(payload) as n, sha256(payload) as digest from p),
+             f as (select *, min(page_id) over (partition by digest) as first_id from d)
+        select page_id, n as payload_bytes, digest as payload_digest,
+               case when n >= 100 and first_id < page_id then 'revisit' else 'response' end as record_type,
+               case when n >= 100 and first_id < page_id then first_id end as refers_to, url
+        from f join pages using (page_id)
+    """,
+    "op7_chat_format": r"""
+        with t as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as body from conversations
+                   union all select -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
+                   union all select -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
+             e as (select *, length(replace(replace(role, '\', '\\'), '<|', '<\p')) as role_chars,
+                          length(replace(replace(body, '\', '\\'), '<|', '<\p')) as body_chars from t),
+             g as (select conv_id, count(*) as n_turns,
+                          string_agg(role || chr(10) || body || chr(10), '' order by turn) as said,
+                          coalesce(string_agg(case when role = 'assistant' then body end, '' order by turn), '') as shown,
+                          sum(12 + role_chars + 1 + body_chars + 11) as chars from e group by conv_id)
+        select conv_id, n_turns, sha256(said) as turns_sha256, length(shown) as loss_chars, sha256(shown) as loss_sha256,
+               cast(chars as bigint) as formatted_chars
+        from g
+    """,
     "op8_exact_dedup": r"""
         with t as (select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') as body from documents)
         select doc_id, min(doc_id) over w as keep_id, count(*) over w as group_size,
