@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quayside.llm import chat_format, exact_dedup, mixing, packing, quality_rules, warc
+from quayside.llm import chat_format, exact_dedup, html_extract, mixing, packing, quality_rules, warc
 from quayside.llm._shared import table
 from quayside.workspace import written
 
@@ -53,6 +53,11 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of all pages."""
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_quality_rules": op2_quality_rules,
@@ -60,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_mixing": op6_mixing,
     "op7_chat_format": op7_chat_format,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_html_extract": op9_html_extract,
 }
 
 ORACLES: dict[str, str] = {
