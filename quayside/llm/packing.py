@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quayside.llm._shared import numbered
+from quayside.workspace import written
 
 MAX_TOKENS = 2048
 END_ID = 1
@@ -107,5 +108,6 @@ def pack(docs: DataFrame, ranks: str, pattern: str, *, longest: int = MAX_TOKENS
     pieces = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(
         run, ", ".join(f"{c} bigint" for c in PIECE_COLUMNS)
     )
-    in_buckets = numbered(pieces, ["length", "doc_id", "start", "ids_crc32"], "sequence_id", "pieces")
+    # Written first, because finding the ranges reads the pieces once more.
+    in_buckets = numbered(written(pieces, "cut"), ["length", "doc_id", "start", "ids_crc32"], "sequence_id", "pieces")
     return in_buckets.withColumn("offset", F.lit(0).cast("bigint")).withColumn("bucket", F.col("length"))
