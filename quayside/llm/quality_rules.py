@@ -15,7 +15,7 @@ SHORT_LINE_WORDS = 8
 # What may end a sentence, possibly before closing quotes or brackets.
 SENTENCE_END = r"""[.!?:;,…。！？][\]"'\)»“”’]*[\x20\x09-\x0D]*$"""
 # Signs that stand between the entries of a menu or a path of links.
-MENU_SIGN = r"[|»›•·>]"
+MENU_SIGNS = "|»›•·>"
 # Phrases of notices that surround a text.
 BOILERPLATE = (
     r"(?i)\b(cookies?|javascript|privacy policy|terms of (use|service)|all rights reserved|copyright \d|lorem ipsum"
@@ -25,23 +25,22 @@ BOILERPLATE = (
 )
 # The signs of markup and noise.
 SYMBOLS = "#*$%&|<>"
-BRACES = r"[{}]"
 
 
 def words(text: Column) -> Column:
     return F.array_remove(F.split(text, WHITE_SPACE), "")
 
 
-def repeat_words(tokens: Column) -> Column:
-    """Number of words that lie in a 3-word window found twice or more; `tokens` is a column.
+def sorted_windows(tokens: Column) -> Column:
+    """The 3-word windows of the column `tokens`, sorted, with their positions; null if fewer than two.
 
-    Windows are sorted with their positions, so equal ones are neighbours: no window is compared
-    with all others, however long the text.
+    Windows, as 64-bit hashes that stand for them inside one text, are sorted with their positions,
+    so equal ones are neighbours: no window is compared with all others, however long the text.
     """
     n = F.size(tokens) - 2
     windows = F.transform(
         F.arrays_zip(F.slice(tokens, 1, n).alias("a"), F.slice(tokens, 2, n).alias("b"), F.slice(tokens, 3, n).alias("c")),
-        lambda x, i: F.struct(F.concat_ws(" ", x["a"], x["b"], x["c"]).alias("k"), i.alias("p")),
+        lambda x, i: F.struct(F.xxhash64(x["a"], x["b"], x["c"]).alias("k"), i.alias("p")),
     )
     return F.when(n > 1, F.array_sort(windows))
 
@@ -62,15 +61,22 @@ def _covered(positions: Column) -> Column:
     return F.aggregate(steps, F.lit(0), lambda x, y: x + y)
 
 
-def good_line(line: Column) -> Column:
-    """True if the line passes the punctuation, navigation and boilerplate rules."""
-    n = F.size(words(line))
+def counted_line(line: Column) -> Column:
+    """A line with its number of words, which several rules need."""
+    return F.struct(line.alias("line"), F.size(words(line)).alias("n"))
+
+
+def good_line(x: Column) -> Column:
+    """True if a line of `counted_line` passes the punctuation, navigation and boilerplate rules."""
+    line, n = x["line"], x["n"]
     ends = line.rlike(SENTENCE_END)
-    menu = (F.regexp_count(line, F.lit(MENU_SIGN)) >= 2) & ~ends | (F.regexp_count(line, F.lit(MENU_SIGN)) * 3 > n)
-    notice = line.rlike(BOILERPLATE) & (n < 40)
-    shouted = (F.length(F.regexp_replace(line, r"\P{Lu}", "")) * 2 > F.length(F.regexp_replace(line, r"\P{L}", ""))) & (n >= 4)
+    menu = F.length(line) - F.length(F.translate(line, MENU_SIGNS, ""))
+    is_menu = (menu > 0) & ((menu >= 2) & ~ends | (menu * 3 > n))
+    notice = (n < 40) & line.rlike(BOILERPLATE)
+    shouted = (n >= 4) & (F.length(F.regexp_replace(line, r"\P{Lu}+", "")) * 2 > F.length(F.regexp_replace(line, r"\P{L}+", "")))
     symbols = F.length(line) - F.length(F.translate(line, SYMBOLS, ""))
-    return (ends | (n >= SHORT_LINE_WORDS)) & ~menu & ~notice & ~shouted & (symbols <= n) & ~line.rlike(BRACES)
+    noise = (symbols > n) | F.contains(line, F.lit("{")) | F.contains(line, F.lit("}"))
+    return ((n >= SHORT_LINE_WORDS) | ends) & ~noise & ~is_menu & ~shouted & ~notice
 
 
 def quality(docs: DataFrame) -> DataFrame:
@@ -87,7 +93,7 @@ def quality(docs: DataFrame) -> DataFrame:
     base = docs.select("doc_id", text.alias("_t"))
     split = base.select("doc_id", "_t", words(F.col("_t")).alias("_w"), F.split("_t", "\n", -1).alias("_all"))
     lined = split.withColumn("_lines", F.filter("_all", lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
-    windowed = lined.withColumn("_sorted", repeat_words(F.col("_w"))).withColumn("_good", F.filter(F.array_distinct("_lines"), good_line))
+    windowed = lined.withColumn("_sorted", sorted_windows(F.col("_w"))).withColumn("_good", F.filter(F.transform(F.array_distinct("_lines"), counted_line), good_line)["line"])
     placed = windowed.withColumn("_places", _neighbours(F.col("_sorted")))
     counted = placed.select(
         "doc_id",
