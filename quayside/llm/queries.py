@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quayside.llm import chat_format, exact_dedup, html_extract, mixing, packing, quality_rules, warc
+from quayside.llm import chat_format, exact_dedup, html_extract, mixing, packing, quality_rules, toxicity, warc
 from quayside.llm._shared import table
 from quayside.workspace import written
 
@@ -24,6 +24,11 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality(table(spark, sf_dir, "documents")).drop("cleaned")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with their toxicity."""
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages written to archives and read back."""
     return warc.read_archives(warc.write_archives(table(spark, sf_dir, "pages")))
@@ -61,6 +66,7 @@ def op9_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_quality_rules": op2_quality_rules,
+    "op3_toxicity": op3_toxicity,
     "op4_warc": op4_warc,
     "op6_mixing": op6_mixing,
     "op7_chat_format": op7_chat_format,

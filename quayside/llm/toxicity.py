@@ -12,17 +12,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BUCKET_BITS = 17
-DIMENSIONS = 8
+DIMENSIONS = 4
 SHORTEST, LONGEST = 3, 6
 PRIOR_WORDS = 15
-MAX_TRAIN_PER_CLASS = 2000
+MAX_TRAIN = (5000, 2000)  # clean, toxic
 MAX_TRAIN_CHARS = 20_000
-EPOCHS = 25
+EPOCHS = 10
 BATCH = 64
 RATE = 0.5
 GAIN = 20.0
 DECAY = 1e-6
-MIN_DOCS = 3
+MIN_DOCS = 10
 TOXIC_FROM = 0.7
 PART_CHARS = 1_000_000
 
@@ -78,12 +78,12 @@ def subwords(text: str) -> tuple[np.ndarray, np.ndarray, int]:
 def _rows(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Documents as sparse rows: starts, buckets, weights. A document is the mean of its words, a
     word the mean of its subwords; PRIOR_WORDS empty words keep the mean of a few words small."""
-    starts, cols, weights = [0], [np.zeros(0, np.int64)], [np.zeros(0, np.float32)]
+    starts, cols, weights = [0], [np.zeros(0, np.int32)], [np.zeros(0, np.float32)]
     for text in texts:
         buckets, words, n = subwords(text)
         share = 1.0 / (np.bincount(words, minlength=n)[words] * (n + PRIOR_WORDS))
         unique, back = np.unique(buckets, return_inverse=True)
-        cols.append(unique)
+        cols.append(unique.astype(np.int32))
         weights.append(np.bincount(back, share, len(unique)).astype(np.float32))
         starts.append(starts[-1] + len(unique))
     return np.array(starts), np.concatenate(cols), np.concatenate(weights)
@@ -161,16 +161,16 @@ def remainder(doc_id: Column, by: int) -> Column:
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Train on a bounded sample of the labelled rows that are not held out.
 
-    At most MAX_TRAIN_PER_CLASS ids of each class, those with the smallest hashes of their ids, and
+    At most MAX_TRAIN ids of each class, those with the smallest hashes of their ids, and
     of these documents those of at most MAX_TRAIN_CHARS characters; so what comes to the driver is
     bounded whatever the tables hold. Only ids are sorted, and only the sample's texts are gathered.
     """
     usable = labels.where(remainder(F.col("doc_id"), 3) != 1).where("toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     ids = None
     for label in (0, 1):
-        some = usable.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_TRAIN_PER_CLASS)
+        some = usable.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_TRAIN[label])
         ids = some if ids is None else ids.unionByName(some)
-    chosen = ids.select(F.col("doc_id").alias("_id"), "toxic")  # at most 2 * MAX_TRAIN_PER_CLASS rows
+    chosen = ids.select(F.col("doc_id").alias("_id"), "toxic")  # at most sum(MAX_TRAIN) rows
     sample = (
         docs.select("doc_id", "text")
         .join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
