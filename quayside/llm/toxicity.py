@@ -17,12 +17,12 @@ SHORTEST, LONGEST = 3, 6
 PRIOR_WORDS = 15
 MAX_TRAIN = (5000, 2000)  # clean, toxic
 MAX_TRAIN_CHARS = 20_000
-EPOCHS = 10
+STEPS = 1000
 BATCH = 64
 RATE = 0.5
 GAIN = 20.0
 DECAY = 1e-6
-MIN_DOCS = 10
+MIN_DOCS, MIN_DOC_SHARE = 3, 1 / 600
 TOXIC_FROM = 0.7
 PART_CHARS = 1_000_000
 
@@ -110,7 +110,8 @@ class Model:
 def train(texts: list[str], labels: list[int], seed: int = 0) -> Model:
     """Embeddings of subwords and the softmax over their document mean, trained together.
 
-    Adagrad on mini-batches; buckets in fewer than MIN_DOCS documents keep a zero vector, so words
+    Adagrad over about STEPS mini-batches; buckets in fewer than MIN_DOCS documents, or a
+    smaller share than MIN_DOC_SHARE, keep a zero vector, so words
     of one document teach nothing. Without examples of both classes, the score is 0 or 1 for all.
     """
     y = np.array(labels, np.int64)
@@ -118,7 +119,7 @@ def train(texts: list[str], labels: list[int], seed: int = 0) -> Model:
     if len(set(labels)) < 2:
         return Model(np.zeros(size, np.float32), 60.0 if labels and labels[0] else -60.0)
     starts, cols, weights = _rows(texts)
-    known = np.bincount(cols, minlength=size) >= MIN_DOCS
+    known = np.bincount(cols, minlength=size) >= max(MIN_DOCS, MIN_DOC_SHARE * len(y))
     keep = known[cols]
     sums = np.concatenate([[0], np.cumsum(keep)])
     starts, cols, weights = sums[starts], cols[keep], weights[keep] * np.float32(GAIN)
@@ -127,8 +128,9 @@ def train(texts: list[str], labels: list[int], seed: int = 0) -> Model:
     out = rng.normal(0, 0.5, (DIMENSIONS, 2)).astype(np.float32)
     bias = np.zeros(2, np.float32)
     emb_sq, out_sq, bias_sq = np.full((size, DIMENSIONS), 1e-6, np.float32), np.full_like(out, 1e-2), np.full_like(bias, 1e-2)
-    for epoch in range(EPOCHS):
-        rate = RATE * (1 - epoch / EPOCHS)
+    epochs = max(1, -(-STEPS * BATCH // len(y)))
+    for epoch in range(epochs):
+        rate = RATE * (1 - epoch / epochs)
         order = rng.permutation(len(y))
         for k in range(0, len(y), BATCH):
             docs = order[k : k + BATCH]
