@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quayside.llm import chat_format, exact_dedup, html_extract, mixing, packing, quality_rules, toxicity, warc
+from quayside.llm import chat_format, exact_dedup, html_extract, lm_score, mixing, packing, quality_rules, toxicity, warc
 from quayside.llm._shared import table
 from quayside.workspace import written
 
@@ -63,6 +63,11 @@ def op9_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents scored by a model of nine tenths of them."""
+    return lm_score.score(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_quality_rules": op2_quality_rules,
@@ -72,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_chat_format": op7_chat_format,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_html_extract": op9_html_extract,
+    "op10_lm_score": op10_lm_score,
 }
 
 ORACLES: dict[str, str] = {
