@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quayside.llm import chat_format, exact_dedup, html_extract, lm_score, mixing, packing, quality_rules, toxicity, warc
+from quayside.llm import chat_format, exact_dedup, html_extract, lm_score, mixing, ngram_join, packing, quality_rules, toxicity, warc
 from quayside.llm._shared import table
 from quayside.workspace import written
 
@@ -34,6 +34,11 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(warc.write_archives(table(spark, sf_dir, "pages")))
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with the component of near copies they lie in."""
+    return ngram_join.similar_documents(table(spark, sf_dir, "documents"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with the words that the mix takes of each."""
     return mixing.mix(table(spark, sf_dir, "documents"))
@@ -73,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
     "op3_toxicity": op3_toxicity,
     "op4_warc": op4_warc,
+    "op5_ngram_join": op5_ngram_join,
     "op6_mixing": op6_mixing,
     "op7_chat_format": op7_chat_format,
     "op8_exact_dedup": op8_exact_dedup,
