@@ -16,9 +16,15 @@ def line_count(text: Column) -> Column:
 
 def word_count(text: Column) -> Column:
     """Number of runs of characters other than white space."""
-    return F.size(F.array_remove(F.split(text, WHITE_SPACE), "")).cast("bigint")
+    return F.when(text.isNotNull(), F.size(F.array_remove(F.split(text, WHITE_SPACE), ""))).cast("bigint")
 
 
 def byte_count(text: Column) -> Column:
     """Length in bytes of the UTF-8 form."""
     return F.octet_length(text).cast("bigint")
+
+
+def line_byte_count(line: Column) -> Column:
+    """Bytes of a line read without its newline, which counts. A carriage return before it is part
+    of the line; a last line without a newline counts one byte more than the file has."""
+    return (F.octet_length(line) + 1).cast("bigint")

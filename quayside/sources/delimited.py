@@ -8,22 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quayside.workspace import columns_sql, quoted
-
-# The columns of the prescription drug event files, all text.
-PRESCRIPTION_DRUG_EVENTS = (
-    "DESYNPUF_ID",
-    "PDE_ID",
-    "SRVC_DT",
-    "PROD_SRVC_ID",
-    "QTY_DSPNSD_NUM",
-    "DAYS_SUPLY_NUM",
-    "PTNT_PAY_AMT",
-    "TOT_RX_CST_AMT",
-)
+from quayside.workspace import quoted
 
 # What stands for NULL in a delimited text table.
 NULL_TEXT = "\\N"
+# A character that no line may hold; a line that does makes the scan fail.
+NEVER = "\u0001"
 
 
 def text_schema(columns: Sequence[str]) -> T.StructType:
@@ -31,6 +21,24 @@ def text_schema(columns: Sequence[str]) -> T.StructType:
     return T.StructType([T.StructField(name, T.StringType()) for name in columns])
 
 
+def _lines(spark: SparkSession, path: str, header: str) -> DataFrame:
+    """Every line below the header of every file, as the one column `line`.
+
+    The header of each file has to be `header`; else, or when a line holds NEVER, the scan fails
+    when it runs. Files are split for reading. Blank lines are left out, as the reader gives them no row.
+    """
+    return (
+        spark.read.schema(text_schema([header]))
+        .option("header", True)
+        .option("enforceSchema", False)
+        .option("sep", NEVER)
+        .option("quote", "")
+        .option("mode", "FAILFAST")
+        .csv(path)
+        .toDF("line")
+    )
+
+
 def scan_delimited(
     spark: SparkSession,
     path: str,
@@ -41,49 +49,36 @@ def scan_delimited(
 ) -> DataFrame:
     """Scan a folder of delimited files, skipping one header line in every file.
 
-    The rules are those of a delimited text table: quotes are ordinary characters, an empty field
-    is an empty text, `\\N` is NULL. With `empty_as_null` an empty field is NULL, too.
-    Files are split for reading and only the selected columns are parsed.
+    The rules are those of a delimited text table: quotes are ordinary characters, a field that a
+    short line lacks is NULL, an empty field is an empty text (NULL with `empty_as_null`), `\\N` is
+    NULL, and surplus fields are dropped. Only the selected fields are cut out.
     """
-    raw = (
-        spark.read.schema(text_schema(columns))
-        .option("header", True)
-        .option("sep", separator)
-        .option("quote", "")
-        .csv(path)
-    )
+    fields = F.split("line", f"\\Q{separator}\\E", -1)
+    rows = _lines(spark, path, separator.join(columns)).select(fields.alias("_f"))
+    values = [F.nullif(F.get("_f", F.lit(i)), F.lit(NULL_TEXT)) for i in range(len(columns))]
     if empty_as_null:
-        return raw.select([F.nullif(F.col(f"`{c}`"), F.lit(NULL_TEXT)).alias(c) for c in columns])
-    return raw.select(
-        [F.nullif(F.coalesce(F.col(f"`{c}`"), F.lit("")), F.lit(NULL_TEXT)).alias(c) for c in columns]
-    )
+        values = [F.nullif(value, F.lit("")) for value in values]
+    return rows.select([value.alias(name) for value, name in zip(values, columns)])
 
 
-def scan_csv(spark: SparkSession, path: str, columns: Sequence[str], *, multi_line: bool = False) -> DataFrame:
+def scan_csv(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
     """Scan headered CSV whose quotes are doubled inside quoted fields; every column is text.
 
-    `multi_line` is for fields that hold line breaks; such files cannot be split, so keep them small.
+    A record is one line, so files are split for reading. A header in another order, a line with
+    an odd number of quotes (a field with a line break) and a line with too few or too many fields make
+    the scan fail; nothing is read by position or cut.
     """
-    return (
-        spark.read.schema(text_schema(columns))
-        .option("header", True)
-        .option("escape", '"')
-        .option("multiLine", multi_line)
-        .csv(path)
-    )
+    line = F.col("line")
+    odd = (F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))) % 2 == 1
+    checked = F.when(odd, F.raise_error(F.concat(F.lit("a quoted field goes on in the next line: "), line))).otherwise(line)
+    schema = ", ".join(f"{quoted_name} string" for quoted_name in ("`" + c.replace("`", "``") + "`" for c in columns))
+    parsed = F.from_csv(checked, schema, {"mode": "FAILFAST", "escape": '"'})
+    return _lines(spark, path, ",".join(columns)).select(parsed.alias("_r")).select("_r.*")
 
 
 def create_delimited_table(spark: SparkSession, table: str, columns: Sequence[str], location: str) -> None:
-    """Declare an external table of text columns over headered files.
-
-    `USING csv` with `header` skips the header of every file; the table property that other
-    engines use for it has no effect in Spark.
-    """
-    fields = ", ".join(f"{columns_sql([name])} STRING" for name in columns)
-    spark.sql(
-        f"CREATE TABLE IF NOT EXISTS {quoted(table)} ({fields}) USING csv "
-        f"OPTIONS (header 'true', quote '') LOCATION '{location}'"
-    )
+    """Fill a table from a scan of headered files, so that it has the rows and NULLs of the scan."""
+    scan_delimited(spark, location, columns).write.saveAsTable(quoted(table))
 
 
 def land_csv(spark: SparkSession, source: str, columns: Sequence[str], landing: str) -> DataFrame:

@@ -10,37 +10,29 @@ from pyspark.sql import functions as F
 ROWS_TYPE = "array<array<string>>"
 
 
-def promote_header(
-    documents: DataFrame,
-    document: str,
-    columns: Sequence[str],
-    *,
-    keep: Sequence[str] = (),
-    fail_on_malformed: bool = True,
-) -> DataFrame:
+def promote_header(documents: DataFrame, document: str, columns: Sequence[str], *, keep: Sequence[str] = ()) -> DataFrame:
     """One output row per data row of every document, with the columns the header names.
 
     Values stay text, so `01` keeps its zero. Each column is found through the document's own
     header, so documents may order their columns differently; a column the header lacks and a
     field a short row lacks are NULL. `row_number` counts the data rows of a document from 1.
-    `columns` is given by the caller because a lazy plan cannot take names from data.
-    The work is map-only: documents are independent and may be spread over any number of tasks.
+    A document that is NULL, malformed or without data rows keeps one row with a NULL `row_number` and
+    its `status` (`missing`, `malformed`, `empty`; `ok` otherwise). Each document is parsed once.
     """
-    mode = "FAILFAST" if fail_on_malformed else "PERMISSIVE"
-    rows = F.from_json(F.col(document), ROWS_TYPE, {"mode": mode})
-    parsed = documents.select(*keep, rows.alias("_rows"))
-    # Position of each column in the header; position 0 (not in the header) becomes index -1 and
-    # so reads as NULL. Found once per document, before the rows are unfolded.
+    rows = F.from_json(F.col(f"`{document}`"), ROWS_TYPE, {"mode": "PERMISSIVE"})
+    kept = [F.col(f"`{c}`") for c in keep]
+    parsed = documents.select(*kept, F.col(f"`{document}`").isNull().alias("_null"), rows.alias("_rows"))
+    places = F.array(*[(F.array_position(F.get("_rows", F.lit(0)), name) - 1).cast("int") for name in columns])
     located = parsed.select(
-        *keep,
-        *[(F.array_position(F.get("_rows", 0), name) - 1).cast("int").alias(f"_at_{name}") for name in columns],
+        *kept,
+        F.when(F.col("_null"), "missing").when(F.col("_rows").isNull(), "malformed").when(F.size("_rows") < 2, "empty").otherwise("ok").alias("status"),
+        places.alias("_at"),
         F.slice("_rows", 2, F.greatest(F.size("_rows") - 1, F.lit(0))).alias("_data"),
     )
-    unfolded = located.select(
-        *keep, *[f"_at_{name}" for name in columns], F.posexplode("_data").alias("_pos", "_row")
-    )
+    unfolded = located.select(*kept, "status", "_at", F.posexplode_outer("_data").alias("_pos", "_row"))
     return unfolded.select(
-        *keep,
+        *kept,
+        "status",
         (F.col("_pos") + 1).cast("bigint").alias("row_number"),
-        *[F.get("_row", F.col(f"_at_{name}")).alias(name) for name in columns],
+        *[F.get("_row", F.get("_at", F.lit(i))).alias(name) for i, name in enumerate(columns)],
     )

@@ -6,13 +6,12 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-LISTING_SCHEMA = "key string, folder string, name string, length bigint"
-
 
 def list_objects(spark: SparkSession, prefix: str, glob: str = "*") -> DataFrame:
-    """Every object below `prefix`: key relative to it, folder part, base name and length.
+    """Every object below `prefix`: `key` relative to it, `folder`, `name` and `length`.
 
     Only file status is read, never content. A prefix that does not exist is an empty listing.
+    Names that begin with `_` or `.`, in any part of the key, are hidden from Spark and not listed.
     """
     try:
         files = (
@@ -25,7 +24,14 @@ def list_objects(spark: SparkSession, prefix: str, glob: str = "*") -> DataFrame
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], LISTING_SCHEMA)
-    root = F.lit(prefix.split("://", 1)[-1].removeprefix("file:").rstrip("/") + "/")
-    key = F.substr("path", F.locate_root(root)) if hasattr(F, "locate_root") else None
-    return files
+        return spark.createDataFrame([], "key string, folder string, name string, length bigint")
+    top = spark._jvm.org.apache.hadoop.fs.Path(prefix)
+    root = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(top).toUri().getPath().rstrip("/")
+    plain = F.regexp_replace("path", r"^[a-zA-Z][\w+.-]*:(//[^/]*)?", "")
+    key = F.substr(plain, F.lit(len(root) + 2))
+    return files.select(key.alias("key"), "length").select(
+        "key",
+        F.regexp_replace("key", r"/?[^/]*$", "").alias("folder"),
+        F.substring_index("key", "/", -1).alias("name"),
+        "length",
+    )
