@@ -80,41 +80,51 @@ def attach(left: DataFrame, right: DataFrame, key: str, rows: str, spread: Colum
     return left.join(F.broadcast(right), key, "left").select(*left.columns, *[c for c in right.columns if c != key])
 
 
+ROWS_PER_TASK = 500_000
+
+
+def narrowed(df: DataFrame, rows: int, label: str) -> DataFrame:
+    """`df`, of about `rows` narrow rows, written by as many tasks as that needs."""
+    return written(df.coalesce(max(1, -(-rows // ROWS_PER_TASK))), label)
+
+
 def components(links: DataFrame, label: str = "component") -> DataFrame:
     """`(node, component)` for every node of `links(a, b)`; component is the smallest node reached.
 
     Alternates the large-star and the small-star step until the edges stay the same. Only counts
     and sums come to the driver; each step is cut off by a written table. A hub may be hot: its
-    neighbours' minimum is aggregated before the shuffle and handed back by `join_by_key`.
+    neighbours' minimum is aggregated before the shuffle and handed back by `attach`.
     """
 
-    def star(edges: DataFrame, large: bool) -> DataFrame:
+    def star(edges: DataFrame, large: bool, n: int) -> DataFrame:
         if large:
             near = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a"))
         else:
             near = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        least = written(near.groupBy("u").agg(F.min("v").alias("_min"), F.count(F.lit(1)).alias("_n")), label)
+        least = narrowed(near.groupBy("u").agg(F.min("v").alias("_min"), F.count(F.lit(1)).alias("_n")), 2 * n, label)
         least = least.withColumn("m", F.least("_min", "u")).drop("_min")
-        with_least = join_by_key(near, least, "u", "_n", F.col("v"))
+        with_least = attach(near, least, "u", "_n", F.col("v"))
         if large:
             out = with_least.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
         else:
             out = with_least.select(F.col("v").alias("a"), F.col("m").alias("b")).union(least.select("u", "m"))
-        return written(out.where("a <> b").distinct(), label)
+        return narrowed(out.where("a <> b").distinct(), 2 * n, label)
 
     def mark(edges: DataFrame) -> tuple:
         return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
-    edges = written(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), label)
+    edges = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b")
+    seen = mark(edges)
+    edges = narrowed(edges.distinct(), seen[0], label)
     seen = mark(edges)
     while seen[0]:
-        edges = star(star(edges, True), False)
+        edges = star(star(edges, True, seen[0]), False, seen[0])
         now = mark(edges)
         if now == seen:
             break
         seen = now
     lower = edges.select(F.col("b").alias("node")).distinct().withColumn("component", F.col("node"))
-    return written(edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(lower), label)
+    return narrowed(edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(lower), 2 * seen[0], label)
 
 
 def mixed(keys: np.ndarray) -> np.ndarray:

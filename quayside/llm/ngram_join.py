@@ -14,7 +14,7 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quayside.llm._shared import components, join_by_key, key_blocks, mixed, shard_bits_for, summed_block
+from quayside.llm._shared import attach, components, join_by_key, key_blocks, mixed, narrowed, shard_bits_for, summed_block
 from quayside.workspace import written
 
 WORDS = 5
@@ -148,14 +148,15 @@ def _candidates(docs: DataFrame, common: Broadcast, width: int, percent: int) ->
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """`pairs(a, b)` with `linked`; the sets of a hub with many pairs are dealt out in copies."""
-    per_hub = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / HUB_PAIRS).cast("int").alias("_copies"))
+    n = pairs.count()
+    hubs = narrowed(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / HUB_PAIRS).cast("int").alias("_copies"), F.count(F.lit(1)).alias("_n")), n, "hubs")
+    per_hub = hubs.select("a", "_copies")
     left = (
         sets.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"), F.col("cells").alias("ca"))
         .join(per_hub, "a")
         .withColumn("_copy", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)))
     )
-    hubs = written(per_hub.withColumn("_n", F.col("_copies").cast("bigint")), "hubs")
-    dealt = join_by_key(pairs, hubs, "a", "_n", F.col("b")).withColumn("_copy", F.pmod(F.xxhash64("b"), F.col("_copies")).cast("int"))
+    dealt = attach(pairs, hubs, "a", "_n", F.col("b")).withColumn("_copy", F.pmod(F.xxhash64("b"), F.col("_copies")).cast("int"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"), F.col("cells").alias("cb"))
     both = dealt.select("a", "b", "_copy").join(right, "b").join(left.drop("_copies"), ["a", "_copy"])
     need = (F.col("na") + F.col("nb")) * percent
@@ -201,11 +202,12 @@ def link_components(sets: DataFrame, percent: int) -> DataFrame:
         if found is None:
             placed = entries.withColumn("component", F.col("doc_id"))
         else:
-            labels = found.select(F.col("node").alias("_d"), F.col("component").alias("_c"))
-            placed = entries.join(labels, F.col("doc_id") == F.col("_d"), "left").withColumn("component", F.coalesce("_c", "doc_id")).drop("_d", "_c")
+            labels = found.select(F.col("node").alias("doc_id"), F.col("component").alias("_c"), F.lit(1).alias("_n"))
+            placed = attach(entries, labels, "doc_id", "_n", F.col("token")).withColumn("component", F.coalesce("_c", "doc_id")).drop("_c", "_n")
         per = placed.groupBy("token", "component").agg(F.count(F.lit(1)).alias("k"))
-        lists = written(
+        lists = narrowed(
             per.groupBy("token").agg(F.sum("k").alias("rows"), F.sum(F.col("k") * F.col("k")).alias("_same"), F.count(F.lit(1)).alias("_c")).where("_c > 1"),
+            total,
             "lists",
         )
         left = lists.agg(F.coalesce(F.sum((F.col("rows") * F.col("rows") - F.col("_same")) / 2), F.lit(0))).first()[0]
@@ -217,8 +219,8 @@ def link_components(sets: DataFrame, percent: int) -> DataFrame:
             pairs = _pairs(open_, open_, percent).where("a < b")
         else:
             leader = F.max(F.struct(F.col("weight"), (-F.col("doc_id")).alias("m"), F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("at").alias("jb"), F.col("component").alias("cb")))
-            leaders = written(placed.groupBy("token").agg(leader.alias("l"), F.count(F.lit(1)).alias("rows")).where("rows > 1").select("token", "rows", "l.b", "l.nb", "l.jb", "l.cb"), "leaders")
-            with_leader = join_by_key(open_, leaders, "token", "rows", F.col("doc_id")).where("b is not null and cb <> component")
+            leaders = narrowed(open_.groupBy("token").agg(leader.alias("l"), F.count(F.lit(1)).alias("rows")).select("token", "rows", "l.b", "l.nb", "l.jb", "l.cb"), total, "leaders")
+            with_leader = attach(open_, leaders, "token", "rows", F.col("doc_id")).where("b is not null and cb <> component")
             shorter, longer = F.least("n", "nb"), F.greatest("n", "nb")
             most = F.least("at", "jb") + 1 + F.least(F.col("n") - F.col("at") - 1, F.col("nb") - F.col("jb") - 1)
             near = with_leader.where((shorter * 100 >= longer * percent) & (most * (100 + percent) >= (F.col("n") + F.col("nb")) * percent))
@@ -227,7 +229,7 @@ def link_components(sets: DataFrame, percent: int) -> DataFrame:
         pairs = pairs.withColumn("_k", known).dropDuplicates(["_k"])
         if tested is not None:
             pairs = pairs.join(tested.select(F.struct(F.col("x"), F.col("y")).alias("_k")), "_k", "left_anti")
-        verified = written(_verified(written(pairs.select("a", "b"), "pairs"), sets, percent), "verified")
+        verified = narrowed(_verified(narrowed(pairs.select("a", "b"), total, "pairs"), sets, percent), total, "verified")
         new = verified.where("linked").select("a", "b")
         links = new if links is None else links.unionByName(new)
         seen = verified.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
@@ -236,7 +238,7 @@ def link_components(sets: DataFrame, percent: int) -> DataFrame:
         if last:
             break
         gone = leaders.select(F.col("token").alias("_t"), F.col("b").alias("_b"))
-        entries = written(entries.join(gone, (F.col("token") == F.col("_t")) & (F.col("doc_id") == F.col("_b")), "left_anti"), "prefixes")
+        entries = narrowed(entries.join(gone, (F.col("token") == F.col("_t")) & (F.col("doc_id") == F.col("_b")), "left_anti"), total, "prefixes")
     if found is None:
         return sets.sparkSession.createDataFrame([], "node bigint, component bigint")
     return found
