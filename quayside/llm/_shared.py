@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -139,6 +140,29 @@ def mixed(keys: np.ndarray) -> np.ndarray:
     return keys
 
 
+KEPT_WORDS = 400_000
+KEPT_BYTES = 40
+
+
+class _WordHashes(dict):
+    """64-bit hashes of words, computed when first asked for; the first KEPT_WORDS short words are kept."""
+
+    def __missing__(self, word: bytes) -> int:
+        found = xxhash.xxh3_64_intdigest(word)
+        if len(self) < KEPT_WORDS and len(word) <= KEPT_BYTES:
+            self[word] = found
+        return found
+
+
+_word_hashes = _WordHashes()
+
+
+def word_hashes(text: bytes) -> np.ndarray:
+    """Hashes of the words of a text, A-Z in lower case. `bytes.split` cuts at just the six white-space bytes."""
+    words = text.lower().split()
+    return np.fromiter(map(_word_hashes.__getitem__, words), np.uint64, len(words))
+
+
 FLUSH_KEYS = 2_000_000
 
 

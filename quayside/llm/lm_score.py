@@ -8,11 +8,10 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quayside.llm._shared import key_blocks, mixed, shard_bits_for, summed_block
+from quayside.llm._shared import key_blocks, mixed, shard_bits_for, summed_block, word_hashes
 from quayside.workspace import written
 
 ADD = 0.1
@@ -23,31 +22,16 @@ PROBES = 4
 MAX_FILTER_BITS = 29
 MIN_FILTER_BITS = 20
 HEAD_WORDS = 400_000
-KEPT_WORDS = 400_000
 
 #: Stand for the end of a text and the place before its first word; no word has these hashes but by chance.
 END = np.uint64(0x9E3779B97F4A7C15)
 START = np.uint64(0xC2B2AE3D27D4EB4F)
 
-_word_hashes: dict[bytes, int] = {}
-
 
 def token_hashes(text: bytes) -> np.ndarray:
     """64-bit hashes of the lower-case words, then of the end. Hashes stand for words throughout:
     among a billion distinct words the chance that any two share one is 3 in 100."""
-    known = _word_hashes
-    if len(known) > KEPT_WORDS:
-        known.clear()
-    words = text.lower().split()
-    hashes = []
-    for w in words:
-        h = known.get(w)
-        if h is None:
-            h = xxhash.xxh3_64_intdigest(w)
-            if len(w) <= 40:
-                known[w] = h
-        hashes.append(h)
-    return np.append(np.array(hashes, np.uint64), END)
+    return np.append(word_hashes(text), END)
 
 
 def ngram_keys(tokens: np.ndarray, order: int) -> list[np.ndarray]:
@@ -61,12 +45,6 @@ def ngram_keys(tokens: np.ndarray, order: int) -> list[np.ndarray]:
     return keys
 
 
-def history_keys(tokens: np.ndarray, order: int) -> list[np.ndarray]:
-    """Keys of the histories of length 1 to `order - 1`; they are n-grams that end one token earlier."""
-    starts = mixed(np.array([START]))
-    return [np.append(starts, k[:-1]) for k in ngram_keys(tokens, order - 1)]
-
-
 def level_of(counts: np.ndarray) -> np.ndarray:
     """Quantised logarithm: 1 for 1, 2 for 2 to 3, 3 for 4 to 7, ..."""
     return np.floor(np.log2(counts)).astype(np.int64) + 1
@@ -77,13 +55,13 @@ def count_of(levels: np.ndarray) -> np.ndarray:
     return np.where(levels > 0, 1.5 * 2.0 ** (levels - 1) - 0.5, 0.0)
 
 
-def _places(keys: np.ndarray, level: int, region_bits: int, shard_bits: int) -> list[np.ndarray]:
-    """Bit numbers of the entry (key, level): all inside the region of the key's shard."""
+def _place(keys: np.ndarray, level: int, probe: int, region_bits: int, shard_bits: int) -> np.ndarray:
+    """Bit numbers of the entries (key, level) for one of the probes: all inside the regions of the keys' shards."""
     with np.errstate(over="ignore"):
-        a = mixed(keys + np.uint64(level) * np.uint64(0x9E3779B97F4A7C15))
-        b = mixed(a ^ np.uint64(0x94D049BB133111EB)) | np.uint64(1)
-        region = (keys >> np.uint64(64 - shard_bits)) << np.uint64(region_bits) if shard_bits else np.uint64(0)
-        return [region + ((a + np.uint64(i) * b) >> np.uint64(64 - region_bits)) for i in range(PROBES)]
+        found = mixed(keys + np.uint64(level * PROBES + probe) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - region_bits)
+        if shard_bits:
+            found |= (keys >> np.uint64(64 - shard_bits)) << np.uint64(region_bits)
+        return found
 
 
 @dataclass
@@ -100,10 +78,10 @@ class LogFrequencyFilter:
         left = np.arange(len(keys))
         level = 1
         while len(left):
-            there = np.ones(len(left), bool)
-            for place in _places(keys[left], level, self.region_bits, self.shard_bits):
-                there &= (self.bits[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
-            left = left[there]
+            for place in range(PROBES):
+                at = _place(keys[left], level, place, self.region_bits, self.shard_bits)
+                there = (self.bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1
+                left = left[there == 1]
             found[left] = level
             level += 1
             if level > 60:
@@ -144,8 +122,8 @@ def build_filter(texts: DataFrame, n_tokens: int, *, order: int = ORDER, max_fil
         own = np.uint64((1 << region_bits) - 1)
         for level in range(1, int(levels.max()) + 1):
             some = hashes[(levels >= level) & (levels >= least)]
-            for place in _places(some, level, region_bits, shard_bits):
-                place = place & own
+            for probe in range(PROBES):
+                place = _place(some, level, probe, region_bits, shard_bits) & own
                 np.bitwise_or.at(out, (place >> np.uint64(3)).astype(np.int64), np.uint8(1) << (place & np.uint64(7)).astype(np.uint8))
         return pd.DataFrame({"shard": [int(block["shard"].iloc[0])], "region": [out.tobytes()]})
 
@@ -234,15 +212,19 @@ def score(
         known = heads[at] == tokens if len(heads) else np.zeros(len(tokens), bool)
         base = np.zeros(len(tokens))
         base[known] = np.log10((counts[at[known]] + ADD) / norm)
-        unique, back = np.unique(np.concatenate([k for t in texts for k in ngram_keys(t, order)[:1]]), return_inverse=True)
-        p = (count_of(bloom.levels(unique))[back] + ADD) / norm
-        for n in range(2, order + 1):
-            grams = count_of(bloom.levels(np.concatenate([ngram_keys(t, n)[n - 1] for t in texts])))
-            olds, back = np.unique(np.concatenate([history_keys(t, n)[n - 2] for t in texts]), return_inverse=True)
-            p = (grams + MU * p) / (np.maximum(count_of(bloom.levels(olds))[back], grams) + MU)
+        edges = np.concatenate([[0], np.cumsum(lengths)])
+        keys = [np.concatenate(k) for k in zip(*[ngram_keys(t, order) for t in texts])]
+        unique, back = np.unique(keys[0], return_inverse=True)
+        count = count_of(bloom.levels(unique))[back]
+        at_start = count_of(bloom.levels(mixed(np.array([START]))))[0]
+        p = (count + ADD) / norm
+        for grams in keys[1:]:
+            history = np.concatenate([[0.0], count[:-1]])  # the count of what ends one token earlier
+            history[edges[:-1]] = at_start
+            count = count_of(bloom.levels(grams))
+            p = (count + MU * p) / (np.maximum(history, count) + MU)
         lp = np.bincount(row, np.log10(np.minimum(p, 1.0)), len(texts))
         tails, times = [], []
-        edges = np.concatenate([[0], np.cumsum(lengths)])
         for k in range(len(texts)):
             part = slice(edges[k], edges[k + 1])
             unseen, n = np.unique(tokens[part][~known[part]], return_counts=True)

@@ -9,12 +9,11 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quayside.llm._shared import attach, components, join_by_key, key_blocks, mixed, narrowed, shard_bits_for, summed_block
+from quayside.llm._shared import attach, components, join_by_key, key_blocks, mixed, narrowed, shard_bits_for, summed_block, word_hashes
 from quayside.workspace import written
 
 WORDS = 5
@@ -23,9 +22,6 @@ MAX_SLOT_BITS = 26
 CELLS = 16
 HUB_PAIRS = 2000
 ROUND_PAIRS = 4
-KEPT_WORDS = 400_000
-
-_word_hashes: dict[bytes, int] = {}
 
 
 def shingles(text: bytes, width: int = WORDS) -> np.ndarray:
@@ -33,20 +29,9 @@ def shingles(text: bytes, width: int = WORDS) -> np.ndarray:
 
     Hashes stand for n-grams: that two of a text of 20,000 words share one has a chance of 1 in 10^11.
     """
-    known = _word_hashes
-    if len(known) > KEPT_WORDS:
-        known.clear()
-    hashes = []
-    for w in text.lower().split():
-        h = known.get(w)
-        if h is None:
-            h = xxhash.xxh3_64_intdigest(w)
-            if len(w) <= 40:
-                known[w] = h
-        hashes.append(h)
-    if not hashes:
-        return np.zeros(0, np.uint64)
-    words = np.array(hashes, np.uint64)
+    words = word_hashes(text)
+    if not len(words):
+        return words
     n = min(width, len(words))
     keys = mixed(words[: len(words) - n + 1] + np.uint64(n))
     with np.errstate(over="ignore"):
