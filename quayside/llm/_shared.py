@@ -140,7 +140,7 @@ def mixed(keys: np.ndarray) -> np.ndarray:
     return keys
 
 
-KEPT_WORDS = 400_000
+KEPT_WORDS = 250_000
 KEPT_BYTES = 40
 
 
@@ -163,7 +163,7 @@ def word_hashes(text: bytes) -> np.ndarray:
     return np.fromiter(map(_word_hashes.__getitem__, words), np.uint64, len(words))
 
 
-FLUSH_KEYS = 2_000_000
+FLUSH_KEYS = 1_000_000
 
 
 def key_blocks(

@@ -145,7 +145,7 @@ def _word_counts(texts: DataFrame) -> DataFrame:
             for text in batch["text"]:
                 held.append(token_hashes(text.encode() if text else b""))
                 n += len(held[-1])
-                if n > 4_000_000:
+                if n > 2_000_000:
                     yield counted(held)
                     held, n = [], 0
         if n:
