@@ -34,7 +34,7 @@ SURROUNDING_NAMES = frozenset(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored banner nav navbar navigation menu sidebar aside footer masthead"
     " topbar toolbar cookie cookies consent gdpr notice notices alert popup modal overlay comment comments commentlist reply replies respond disqus"
     " discussion share sharing social related recommended promo promotion newsletter subscribe signup login breadcrumb breadcrumbs pagination pager"
-    " widget copyright legal skip search tags contentinfo complementary form subscription teaser".split()
+    " widget copyright legal adsbygoogle promoted skip search tags contentinfo complementary form subscription teaser".split()
 )
 CONTENT_NAMES = frozenset("article articlebody main content post entry story".split())
 
@@ -152,7 +152,7 @@ def blocks_of(page: str) -> list[Block]:
                 names, _, hidden = _names(attributes)
                 named_content = name in CONTENT_TAGS or bool(names & CONTENT_NAMES)
                 around = name in SURROUNDING_TAGS or hidden or bool(names & SURROUNDING_NAMES) and name not in ("html", "body", *CONTENT_TAGS)
-                around = around or name == "header" and not content
+                around = around or (name == "header" or "header" in names) and not content
                 stack.append((name, surrounding or around, content or named_content and not around))
     if at < len(page):
         add(page[at:])

@@ -86,7 +86,40 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_lm_score": op10_lm_score,
 }
 
+# The pattern of sentence ends as a SQL text literal holds it.
+SENTENCE_END_SQL = quality_rules.SENTENCE_END.replace("'", "''")
+
 ORACLES: dict[str, str] = {
+    "op2_quality_rules": rf"""
+        with t as (select doc_id, coalesce(text, '') as body from documents),
+             w as (select doc_id, body, list_filter(regexp_split_to_array(body, '[\x20\x09-\x0D]+'), lambda x: x <> '') as words,
+                          list_filter(string_split(body, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines from t),
+             u as (select doc_id, unnest(words) as word, generate_subscripts(words, 1) as pos from w),
+             x as (select doc_id, pos, word || ' ' || lead(word) over o || ' ' || lead(word, 2) over o as three from u
+                   window o as (partition by doc_id order by pos)),
+             r as (select doc_id, pos from (select *, count(*) over (partition by doc_id, three) as times from x where three is not null) where times > 1),
+             c as (select doc_id, count(distinct pos + k) as covered from r, (select unnest([0, 1, 2]) as k) group by 1),
+             l as (select doc_id, unnest(list_distinct(lines)) as line from w),
+             m as (select doc_id, line, len(list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda x: x <> '')) as n,
+                          regexp_matches(line, '{SENTENCE_END_SQL}') as ends,
+                          length(line) - length(translate(line, '{quality_rules.MENU_SIGNS}', '')) as menu,
+                          length(line) - length(translate(line, '{quality_rules.SYMBOLS}', '')) as symbols,
+                          length(regexp_replace(line, '\P{{Lu}}+', '', 'g')) as capitals, length(regexp_replace(line, '\P{{L}}+', '', 'g')) as letters from l),
+             g as (select doc_id, sum(length(line)) as left_chars from m
+                   where (n >= {quality_rules.SHORT_LINE_WORDS} or ends) and not (symbols > n or contains(line, '{{') or contains(line, '}}'))
+                     and not (menu > 0 and ((menu >= 2 and not ends) or menu * 3 > n)) and not (n >= 4 and capitals * 2 > letters)
+                     and not (n < 40 and regexp_matches(line, '{quality_rules.BOILERPLATE}')) group by 1),
+             b as (select doc_id, cast(len(words) as bigint) as n_words,
+                          cast(coalesce(list_sum(list_transform(words, lambda x: length(x))), 0) as bigint) as word_chars,
+                          length(body) - length(translate(body, '{quality_rules.SYMBOLS}', '')) as n_symbols,
+                          cast(len(lines) - len(list_distinct(lines)) as bigint) as n_dup_lines, coalesce(covered, 0) as n_repeat_words,
+                          coalesce(list_sum(list_transform(lines, lambda x: length(x))), 0) as chars, coalesce(left_chars, 0) as left_chars
+                   from w left join c using (doc_id) left join g using (doc_id)),
+             f as (select *, n_words < {quality_rules.MIN_WORDS} or n_repeat_words * 100 > n_words * {quality_rules.MAX_REPEAT_PERCENT} as base_failed from b)
+        select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+               not base_failed and (chars - left_chars) * 100 <= chars * {quality_rules.MAX_LOST_PERCENT} as kept
+        from f
+    """,
     "op4_warc": """
         with p as (select page_id, encode(coalesce(html, '')) as payload from pages),
              d as (select page_id, octet_length(payload) as n, sha256(payload) as digest from p),

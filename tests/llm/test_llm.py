@@ -9,13 +9,14 @@ import random
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quayside.llm import chat_format, exact_dedup, html_extract, lm_score, mixing, ngram_join, packing, quality_rules, toxicity, warc
+from quayside.llm import chat_format, exact_dedup, html_extract, lm_score, mixing, ngram_join, packing, quality_rules, queries, toxicity, warc
 from quayside.llm._shared import components, join_by_key
 
 SF = "/root/testdata/sf0.001"
@@ -360,6 +361,7 @@ def test_html(spark):
       <p>One <b>two</b> &amp; three&nbsp;four<p>Para<script>if(a<b){"</p>"}</script> more<aside>side</aside><form>Name <input></form>
       <div class="post-comments"><p>nice post</p></div><p>End.</article></main><footer>x</footer>"""
     assert html_extract.main_text(page) == "Title\nOne two & three four\nPara more\nEnd."
+    assert html_extract.main_text('<div id="site-header">Site</div><div class="content"><div class="entry-header">Title</div><p>Text.</p></div>') == "Title\nText."
     good = "the cat is in the house of the man and it was good " * 6
     plain = f"<div><a href=x>Home</a></div><p>{good}</p><p>short one</p><p>{good}</p><div>Imprint</div>"
     assert html_extract.main_text(plain) == f"{good.strip()}\nshort one\n{good.strip()}"
@@ -440,3 +442,15 @@ def test_pipeline(spark):
     packed = corpus_pipeline.STAGES[4][1](spark, mixed, SF)
     ends = packed.where("start + length = doc_tokens").groupBy("doc_id").count().collect()
     assert {r["doc_id"]: r["count"] for r in ends} == dict(collections.Counter(r["doc_id"] for r in mixed.collect()))
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_query_matches_sql(spark, name):
+    duck = duckdb.connect()
+    for table in ("documents", "pages", "conversations"):
+        duck.execute(f"create view {table} as select * from '{SF}/{table}.parquet'")
+    cursor = duck.execute(queries.ORACLES[name])
+    names = [c[0] for c in cursor.description]
+    found = queries.QUERIES[name](spark, SF)
+    assert sorted(found.columns) == sorted(names)
+    assert sorted((tuple(r) for r in found.select(*names).collect()), key=str) == sorted(cursor.fetchall(), key=str)
