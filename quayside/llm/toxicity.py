@@ -75,18 +75,28 @@ def subwords(text: str) -> tuple[np.ndarray, np.ndarray, int]:
     return np.concatenate(buckets).astype(np.int64), np.concatenate(words), n_words
 
 
-def _rows(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Documents as sparse rows: starts, buckets, weights. A document is the mean of its words, a
-    word the mean of its subwords; PRIOR_WORDS empty words keep the mean of a few words small."""
-    starts, cols, weights = [0], [np.zeros(0, np.int32)], [np.zeros(0, np.float32)]
+def _row(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """A document as a sparse row of buckets and weights. A document is the mean of its words, a word
+    the mean of its subwords; PRIOR_WORDS empty words keep the mean of a few words small."""
+    buckets, words, n = subwords(text)
+    share = 1.0 / (np.bincount(words, minlength=n)[words] * (n + PRIOR_WORDS))
+    unique, back = np.unique(buckets, return_inverse=True)
+    return unique.astype(np.int32), np.bincount(back, share, len(unique)).astype(np.float32)
+
+
+def _rows(texts: list[str], least: float) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+    """The rows of all texts, with the buckets in at least `least` documents only, and which buckets
+    those are. Rows are made twice, so that the rare buckets are never held."""
+    docs = np.zeros(1 << BUCKET_BITS, np.int64)
     for text in texts:
-        buckets, words, n = subwords(text)
-        share = 1.0 / (np.bincount(words, minlength=n)[words] * (n + PRIOR_WORDS))
-        unique, back = np.unique(buckets, return_inverse=True)
-        cols.append(unique.astype(np.int32))
-        weights.append(np.bincount(back, share, len(unique)).astype(np.float32))
-        starts.append(starts[-1] + len(unique))
-    return np.array(starts), np.concatenate(cols), np.concatenate(weights)
+        docs[_row(text)[0]] += 1
+    known = docs >= least
+    rows = []
+    for text in texts:
+        cols, weights = _row(text)
+        keep = known[cols]
+        rows.append((cols[keep], weights[keep] * np.float32(GAIN)))
+    return rows, known
 
 
 class Model:
@@ -118,11 +128,7 @@ def train(texts: list[str], labels: list[int], seed: int = 0) -> Model:
     size = 1 << BUCKET_BITS
     if len(set(labels)) < 2:
         return Model(np.zeros(size, np.float32), 60.0 if labels and labels[0] else -60.0)
-    starts, cols, weights = _rows(texts)
-    known = np.bincount(cols, minlength=size) >= max(MIN_DOCS, MIN_DOC_SHARE * len(y))
-    keep = known[cols]
-    sums = np.concatenate([[0], np.cumsum(keep)])
-    starts, cols, weights = sums[starts], cols[keep], weights[keep] * np.float32(GAIN)
+    rows, known = _rows(texts, max(MIN_DOCS, MIN_DOC_SHARE * len(y)))
     rng = np.random.default_rng(seed)
     emb = rng.normal(0, 0.1, (size, DIMENSIONS)).astype(np.float32) * known[:, None]
     out = rng.normal(0, 0.5, (DIMENSIONS, 2)).astype(np.float32)
@@ -134,10 +140,10 @@ def train(texts: list[str], labels: list[int], seed: int = 0) -> Model:
         order = rng.permutation(len(y))
         for k in range(0, len(y), BATCH):
             docs = order[k : k + BATCH]
-            lengths = starts[docs + 1] - starts[docs]
+            lengths = [len(rows[d][0]) for d in docs]
             row = np.repeat(np.arange(len(docs)), lengths)
-            at = np.repeat(starts[docs] - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths) + np.arange(lengths.sum())
-            c, w = cols[at], weights[at]
+            c = np.concatenate([rows[d][0] for d in docs])
+            w = np.concatenate([rows[d][1] for d in docs])
             mean = np.stack([np.bincount(row, w * emb[c, d], len(docs)) for d in range(DIMENSIONS)], 1).astype(np.float32)
             logits = mean @ out + bias
             p = np.exp(logits - logits.max(1, keepdims=True))
