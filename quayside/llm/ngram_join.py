@@ -18,7 +18,7 @@ from quayside.workspace import written
 
 WORDS = 5
 PERCENT = 80
-MAX_SLOT_BITS = 26
+MAX_SLOT_BITS = 25
 CELLS = 16
 HUB_PAIRS = 2000
 ROUND_PAIRS = 4
