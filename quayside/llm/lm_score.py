@@ -20,8 +20,8 @@ MU = 2000.0
 BITS_PER_ENTRY = 10
 PROBES = 4
 MAX_FILTER_BITS = 29
-MIN_FILTER_BITS = 20
-HEAD_WORDS = 400_000
+MIN_REGION_BITS = 10
+GROUP_BYTES = 6_000_000
 
 #: Stand for the end of a text and the place before its first word; no word has these hashes but by chance.
 END = np.uint64(0x9E3779B97F4A7C15)
@@ -55,13 +55,10 @@ def count_of(levels: np.ndarray) -> np.ndarray:
     return np.where(levels > 0, 1.5 * 2.0 ** (levels - 1) - 0.5, 0.0)
 
 
-def _place(keys: np.ndarray, level: int, probe: int, region_bits: int, shard_bits: int) -> np.ndarray:
-    """Bit numbers of the entries (key, level) for one of the probes: all inside the regions of the keys' shards."""
+def _place(keys: np.ndarray, level: int, probe: int, region_bits: int) -> np.ndarray:
+    """Bit numbers of the entries (key, level) for one of the probes."""
     with np.errstate(over="ignore"):
-        found = mixed(keys + np.uint64(level * PROBES + probe) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - region_bits)
-        if shard_bits:
-            found |= (keys >> np.uint64(64 - shard_bits)) << np.uint64(region_bits)
-        return found
+        return mixed(keys + np.uint64(level * PROBES + probe) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - region_bits)
 
 
 @dataclass
@@ -70,7 +67,21 @@ class LogFrequencyFilter:
 
     bits: np.ndarray
     region_bits: int
-    shard_bits: int
+
+    @classmethod
+    def holding(cls, keys: np.ndarray, counts: np.ndarray) -> LogFrequencyFilter:
+        """A filter of all the n-grams: it has BITS_PER_ENTRY bits or more for each of their entries."""
+        levels = level_of(counts)
+        region_bits = MIN_REGION_BITS
+        while 1 << region_bits < int(levels.sum()) * BITS_PER_ENTRY:
+            region_bits += 1
+        bits = np.zeros(1 << (region_bits - 3), np.uint8)
+        for level in range(1, int(levels.max(initial=0)) + 1):
+            some = keys[levels >= level]
+            for probe in range(PROBES):
+                place = _place(some, level, probe, region_bits)
+                np.bitwise_or.at(bits, (place >> np.uint64(3)).astype(np.int64), np.uint8(1) << (place & np.uint64(7)).astype(np.uint8))
+        return cls(bits, region_bits)
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
         """Levels of n-grams: membership is probed for 1, 2, ... until it fails."""
@@ -79,7 +90,7 @@ class LogFrequencyFilter:
         level = 1
         while len(left):
             for place in range(PROBES):
-                at = _place(keys[left], level, place, self.region_bits, self.shard_bits)
+                at = _place(keys[left], level, place, self.region_bits)
                 there = (self.bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1
                 left = left[there == 1]
             found[left] = level
@@ -89,173 +100,186 @@ class LogFrequencyFilter:
         return found
 
 
+@dataclass
+class ShardedFilter:
+    """One filter for each shard of the key space."""
+
+    shards: dict[int, LogFrequencyFilter]
+    shard_bits: int
+
+    def levels(self, keys: np.ndarray) -> np.ndarray:
+        found = np.zeros(len(keys), np.int64)
+        shard = keys >> np.uint64(64 - self.shard_bits) if self.shard_bits else np.zeros(len(keys), np.uint64)
+        for s, part in self.shards.items():
+            own = np.flatnonzero(shard == np.uint64(s))
+            found[own] = part.levels(keys[own])
+        return found
+
+
 def held_out(doc_id: Column) -> Column:
     """crc32 of the id as text is a multiple of ten; a null id is not held out."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 10 == 0, F.lit(False))
 
 
-def build_filter(texts: DataFrame, n_tokens: int, *, order: int = ORDER, max_filter_bits: int = MAX_FILTER_BITS) -> LogFrequencyFilter:
-    """Count all n-grams of all `texts(text)` and store their quantised counts.
+def build_filter(texts: DataFrame, n_tokens: int, *, order: int = ORDER, max_filter_bits: int = MAX_FILTER_BITS) -> ShardedFilter:
+    """Count all n-grams of two or more words of all `texts(text)` and gather the filter of their quantised counts.
 
-    Counting is distributed: tasks pre-aggregate blocks of sorted keys, a shard of the key space is
-    summed by one task, which also sets the bits of its own region. Only the finished regions are
-    gathered, 2^max_filter_bits bits together at most. The filter grows with the corpus up to that;
-    beyond it, a shard leaves out n-grams below the smallest count with which the entries fit
-    BITS_PER_ENTRY bits each, so that the error rate of the probes stays the same, and such an
-    n-gram is scored by its shorter one. All n-grams are counted in either case.
+    For models that one process holds; `score` gathers none. A shard's part grows with its distinct
+    n-grams. A filter of more than 2^max_filter_bits bits is refused: nothing is ever left out.
     """
-    keys = n_tokens * order
-    shard_bits = shard_bits_for(keys)
-    bits = MIN_FILTER_BITS
-    while bits < max_filter_bits and 1 << bits < keys * BITS_PER_ENTRY:
-        bits += 1
-    region_bits = max(10, bits - shard_bits)
+    shard_bits = shard_bits_for(n_tokens * (order - 1))
 
     def region(block: pd.DataFrame) -> pd.DataFrame:
-        hashes, counts = summed_block(block)
-        levels = level_of(counts)
-        # Entries that all n-grams of at least a level need together, highest level first.
-        need = np.bincount(levels, levels)[::-1].cumsum()[::-1]
-        fitting = np.flatnonzero(need * BITS_PER_ENTRY <= (1 << region_bits) * 1.6)
-        least = int(fitting[0]) if len(fitting) else int(levels.max()) + 1
-        out = np.zeros(1 << (region_bits - 3), np.uint8)
-        own = np.uint64((1 << region_bits) - 1)
-        for level in range(1, int(levels.max()) + 1):
-            some = hashes[(levels >= level) & (levels >= least)]
-            for probe in range(PROBES):
-                place = _place(some, level, probe, region_bits, shard_bits) & own
-                np.bitwise_or.at(out, (place >> np.uint64(3)).astype(np.int64), np.uint8(1) << (place & np.uint64(7)).astype(np.uint8))
-        return pd.DataFrame({"shard": [int(block["shard"].iloc[0])], "region": [out.tobytes()]})
-
-    blocks = key_blocks(texts, lambda text: np.concatenate([*ngram_keys(token_hashes(text), order), mixed(np.array([START]))]), shard_bits)
-    regions = written(blocks.groupBy("shard").applyInPandas(region, "shard int, region binary"), "filter")
-    filled = np.zeros((1 << shard_bits) << (region_bits - 3), np.uint8)
-    size = 1 << (region_bits - 3)
-    for row in regions.toLocalIterator():
-        filled[row["shard"] * size : (row["shard"] + 1) * size] = np.frombuffer(row["region"], np.uint8)
-    return LogFrequencyFilter(filled, region_bits, shard_bits)
-
-
-def _word_counts(texts: DataFrame) -> DataFrame:
-    """Exact counts `(h, c)` of the tokens of `texts(text)`, written."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, n = [], 0
-        for batch in batches:
-            for text in batch["text"]:
-                held.append(token_hashes(text.encode() if text else b""))
-                n += len(held[-1])
-                if n > 2_000_000:
-                    yield counted(held)
-                    held, n = [], 0
-        if n:
-            yield counted(held)
-
-    def counted(held: list[np.ndarray]) -> pd.DataFrame:
-        hashes, counts = np.unique(np.concatenate(held), return_counts=True)
-        return pd.DataFrame({"h": hashes.view(np.int64), "c": counts})
-
-    return written(texts.mapInPandas(run, "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c")), "words")
+        made = LogFrequencyFilter.holding(*summed_block(block))
+        return pd.DataFrame({"shard": [int(block["shard"].iloc[0])], "bits": [made.region_bits], "region": [made.bits.tobytes()]})
+
+    blocks = key_blocks(texts, lambda text: np.concatenate(ngram_keys(token_hashes(text), order)[1:]), shard_bits)
+    regions = written(blocks.groupBy("shard").applyInPandas(region, "shard int, bits int, region binary"), "filter")
+    size = regions.agg(F.sum(F.octet_length("region"))).first()[0] or 0
+    if size * 8 > 1 << max_filter_bits:
+        raise ValueError(f"the filter needs {size * 8} bits, more than 2^{max_filter_bits}")
+    found = {r["shard"]: LogFrequencyFilter(np.frombuffer(r["region"], np.uint8), r["bits"]) for r in regions.toLocalIterator()}
+    return ShardedFilter(found, shard_bits)
+
+
+def _groups(batches: Iterator[pa.RecordBatch], group_bytes: int) -> Iterator[list[tuple]]:
+    """Rows `(doc_id, place, text, ...)` in runs of about `group_bytes`, whatever the batches."""
+    held, size = [], 0
+    for batch in batches:
+        for row in zip(*(column.to_pylist() for column in batch.columns)):
+            held.append(row)
+            size += len(row[2])
+            if size >= group_bytes:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
+
+
+def _keys(texts: list[bytes], order: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Tokens of each text; their keys one text after the other, one array per length of n-gram."""
+    tokens = [token_hashes(t) for t in texts]
+    return np.array([len(t) for t in tokens]), [np.concatenate(k) for k in zip(*[ngram_keys(t, order) for t in tokens])]
+
+
+def _counted(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys and the sums of their weights."""
+    if not len(keys):
+        return keys, np.zeros(0, np.int64)
+    order = np.argsort(keys)
+    keys = keys[order]
+    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[starts], np.add.reduceat(weights[order], starts)
+
+
+def _summed(hashes: pd.Series, counts: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    if not hashes.map(len).any():
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    return summed_block(pd.DataFrame({"hashes": hashes, "counts": counts}))
 
 
 def score(
     docs: DataFrame, *, training: Callable[[Column], Column] = lambda doc_id: ~held_out(doc_id), order: int = ORDER,
-    head_words: int = HEAD_WORDS, max_filter_bits: int = MAX_FILTER_BITS,
+    head_words: int | None = None,
 ) -> DataFrame:
     """One row per row of `docs(doc_id, text, ...)`: `doc_id, held_out, n_tokens, n_known, train_tokens,
     base_score, score`.
 
     `score` is the log10 probability of the text under an n-gram model with Dirichlet smoothing,
-    P(w|h) = (c(hw) + MU P'(w|h')) / (c(h) + MU), down to (c(w) + 0.1) / (N + 0.1 (V + 1)), whose
-    counts all come out of the filter. `base_score` takes exact counts of single words: those of
-    words with at least N / head_words occurrences, at most `head_words` many, are broadcast; the
-    others of a text join their counts by a shuffle in which no word is hot.
+    P(w|h) = (c(hw) + MU P'(w|h')) / (c(h) + MU), down to (c(w) + 0.1) / (N + 0.1 (V + 1)). Counts of
+    single words are exact in both scores; those of longer n-grams come out of the filter.
+
+    Nothing of the model is gathered or broadcast. Tasks count the distinct words and n-grams of a
+    group of about GROUP_BYTES of text, and send them to the shards of the key space. The task of a
+    shard sums the counts, makes its filter of all n-grams there are, and answers each group, whose
+    texts meet the answers by a shuffle. A word or n-gram is one entry of a group however often it
+    occurs, so none is hot. `head_words` has no effect; it is left for callers that give it.
 
     A null text is empty and has the end alone. The rows are told apart by their place in the
     input, so repeated rows and null ids keep one row each; `docs` should be a table scan, which
-    gives the same places each time it is read. With no training rows the counts are all zero. Other
-    columns are ignored.
+    gives the same places each time it is read; the job fails if it does not. With no training rows
+    the counts are all zero. Other columns are ignored.
     """
-    spark = docs.sparkSession
-    train = docs.where(training(F.col("doc_id"))).select("text")
-    words = _word_counts(train)
-    sums = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    n_train, vocabulary = int(sums[0]), int(sums[1])
-    floor = n_train / head_words
-    head = words.where(F.col("c") >= floor).toArrow()  # at most head_words rows, as each has a share of N
-    order_by = np.argsort(head_h := head["h"].to_numpy().view(np.uint64))
-    model = spark.sparkContext.broadcast(
-        (build_filter(train, n_train, order=order, max_filter_bits=max_filter_bits), head_h[order_by], head["c"].to_numpy()[order_by].astype(np.float64))
+    group_bytes = GROUP_BYTES
+    rows = docs.select(
+        F.col("doc_id").cast("bigint").alias("doc_id"),
+        F.monotonically_increasing_id().alias("_place"),
+        F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"),
+        F.coalesce(training(F.col("doc_id")), F.lit(False)).alias("_train"),
+    )
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text") / 6 + 1), F.lit(0)), F.count(F.when(F.col("_train"), 1))).first()
+    shard_bits, at_start = shard_bits_for(int(size[0]) * order), int(size[1])
+    none = np.zeros(0, np.uint64)
+    cuts = np.arange(1, 1 << shard_bits, dtype=np.uint64) << np.uint64(64 - shard_bits) if shard_bits else none
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in _groups(batches, group_bytes):
+            lengths, keys = _keys([r[2] for r in held], order)
+            weights = np.repeat(np.array([r[3] for r in held], np.uint32), lengths)
+            parts = []
+            for hashes, counts in (_counted(keys[0], weights), _counted(np.concatenate([none, *keys[1:]]), np.tile(weights, order - 1))):
+                edges = [0, *map(int, np.searchsorted(hashes, cuts)), len(hashes)]
+                parts.append([(hashes[a:b].tobytes(), counts[a:b].astype(np.uint32).tobytes()) for a, b in zip(edges, edges[1:])])
+            out = [(s, held[0][1], *w, *g) for s, (w, g) in enumerate(zip(*parts)) if w[0] or g[0]]
+            types = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
+            names = ["shard", "grp", "words", "word_counts", "grams", "gram_counts"]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), types)], names=names)
+
+    def answer(block: pd.DataFrame) -> pd.DataFrame:
+        words, counts = _summed(block["words"], block["word_counts"])
+        grams, times = _summed(block["grams"], block["gram_counts"])
+        levels = LogFrequencyFilter.holding(grams[times > 0], times[times > 0]).levels(grams).astype(np.uint8)
+        out = pd.DataFrame({
+            "grp": block["grp"], "shard": block["shard"],
+            "counts": [counts[np.searchsorted(words, np.frombuffer(x, np.uint64))].tobytes() for x in block["words"]],
+            "levels": [levels[np.searchsorted(grams, np.frombuffer(x, np.uint64))].tobytes() for x in block["grams"]],
+            "total": 0, "vocabulary": 0,
+        })
+        # Each shard's sums are in one row.
+        out.loc[out.index[0], ["total", "vocabulary"]] = [int(counts.sum()), int((counts > 0).sum())]
+        return out
+
+    blocks = rows.mapInArrow(count, "shard int, grp bigint, words binary, word_counts binary, grams binary, gram_counts binary")
+    answers = written(
+        blocks.groupBy("shard").applyInPandas(answer, "grp bigint, shard int, counts binary, levels binary, total bigint, vocabulary bigint"), "answers"
     )
-    norm = n_train + ADD * (vocabulary + 1)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bloom, heads, counts = model.value
-        for batch in batches:
-            ids = batch.column(0).to_pylist()
-            texts = [token_hashes(t.as_py().encode() if t.is_valid else b"") for t in batch.column(1)]
-            places = batch.column(2).to_pylist()
-            start = 0
-            while start < len(texts):
-                end, size = start, 0
-                while end < len(texts) and (size < 200_000 or end == start):
-                    size += len(texts[end])
-                    end += 1
-                yield scored(bloom, heads, counts, ids[start:end], places[start:end], texts[start:end])
-                start = end
-
-    def scored(bloom: LogFrequencyFilter, heads: np.ndarray, counts: np.ndarray, ids: list, places: list, texts: list) -> pa.RecordBatch:
-        lengths = np.array([len(t) for t in texts])
-        tokens = np.concatenate(texts)
+    sums = answers.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("vocabulary"), F.lit(0))).first()
+    n_train, norm = int(sums[0]), int(sums[0]) + ADD * (int(sums[1]) + 1)
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in _groups(batches, group_bytes):
+            ids, places, texts = zip(*(r[:3] for r in held))
+            # Pandas would make floats of ids with a null among them.
+            columns = [[places[0]] * len(held), [i or 0 for i in ids], [i is None for i in ids], places, texts]
+            types = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types)], names=["grp", "doc_id", "_null", "_place", "text"])
+
+    def scored(texts: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        texts, found = texts.sort_values("_place"), found.sort_values("shard")
+        lengths, keys = _keys(list(texts["text"]), order)
         row = np.repeat(np.arange(len(texts)), lengths)
-        at = np.minimum(np.searchsorted(heads, tokens), max(0, len(heads) - 1))
-        known = heads[at] == tokens if len(heads) else np.zeros(len(tokens), bool)
-        base = np.zeros(len(tokens))
-        base[known] = np.log10((counts[at[known]] + ADD) / norm)
-        edges = np.concatenate([[0], np.cumsum(lengths)])
-        keys = [np.concatenate(k) for k in zip(*[ngram_keys(t, order) for t in texts])]
-        unique, back = np.unique(keys[0], return_inverse=True)
-        count = count_of(bloom.levels(unique))[back]
-        at_start = count_of(bloom.levels(mixed(np.array([START]))))[0]
+        words, back = np.unique(keys[0], return_inverse=True)
+        grams, at = np.unique(np.concatenate([none, *keys[1:]]), return_inverse=True)
+        exact = np.frombuffer(b"".join(found["counts"]), np.int64)
+        levels = np.frombuffer(b"".join(found["levels"]), np.uint8)
+        if len(exact) != len(words) or len(levels) != len(grams):
+            raise ValueError("docs gave other rows when read again")
+        count = exact[back].astype(np.float64)
         p = (count + ADD) / norm
-        for grams in keys[1:]:
+        base, known = np.log10(p), count > 0
+        starts = np.cumsum(lengths) - lengths
+        for n in range(order - 1):
             history = np.concatenate([[0.0], count[:-1]])  # the count of what ends one token earlier
-            history[edges[:-1]] = at_start
-            count = count_of(bloom.levels(grams))
+            history[starts] = at_start
+            count = count_of(levels[at[n * len(row) : (n + 1) * len(row)]].astype(np.int64))
             p = (count + MU * p) / (np.maximum(history, count) + MU)
-        lp = np.bincount(row, np.log10(np.minimum(p, 1.0)), len(texts))
-        tails, times = [], []
-        for k in range(len(texts)):
-            part = slice(edges[k], edges[k + 1])
-            unseen, n = np.unique(tokens[part][~known[part]], return_counts=True)
-            tails.append(unseen.view(np.int64))
-            times.append(n)
-        offsets = np.concatenate([[0], np.cumsum([len(t) for t in tails])]).astype(np.int32)
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(ids, pa.int64()), pa.array(places, pa.int64()), pa.array(lengths, pa.int64()),
-                pa.array(np.bincount(row, known, len(texts)).astype(np.int64)), pa.array(np.bincount(row, base, len(texts))), pa.array(lp),
-                pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(tails), pa.int64())),
-                pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(times).astype(np.int64))),
-            ],
-            names=["doc_id", "_place", "n_tokens", "_known", "_base", "score", "_tail", "_times"],
-        )
-
-    schema = "doc_id bigint, _place bigint, n_tokens bigint, _known bigint, _base double, score double, _tail array<bigint>, _times array<bigint>"
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.monotonically_increasing_id().alias("_place"))
-    first = written(rows.mapInArrow(run, schema), "scored")
-    tail = first.select("_place", F.explode(F.arrays_zip("_tail", "_times")).alias("t")).select("_place", F.col("t._tail").alias("h"), F.col("t._times").alias("n"))
-    rare = words.where(F.col("c") < floor)
-    found = tail.join(rare, "h", "left").groupBy("_place").agg(
-        F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("_rare"),
-        F.sum(F.col("n") * F.log10((F.coalesce("c", F.lit(0)) + ADD) / F.lit(norm))).alias("_more"),
-    )
-    return first.join(found, "_place", "left").select(
-        "doc_id",
-        held_out(F.col("doc_id")).alias("held_out"),
-        "n_tokens",
-        (F.col("_known") + F.coalesce("_rare", F.lit(0))).alias("n_known"),
-        F.lit(n_train).cast("bigint").alias("train_tokens"),
-        (F.col("_base") + F.coalesce("_more", F.lit(0.0))).alias("base_score"),
-        "score",
+        return pd.DataFrame({
+            "doc_id": pd.arrays.IntegerArray(texts["doc_id"].to_numpy(np.int64), texts["_null"].to_numpy(bool)), "n_tokens": lengths, "n_known": np.bincount(row, known, len(texts)).astype(np.int64),
+            "base_score": np.bincount(row, base, len(texts)), "score": np.bincount(row, np.log10(np.minimum(p, 1.0)), len(texts)),
+        })
+
+    texts = rows.mapInArrow(placed, "grp bigint, doc_id bigint, _null boolean, _place bigint, text binary")
+    out = texts.groupBy("grp").cogroup(answers.select("grp", "shard", "counts", "levels").groupBy("grp")).applyInPandas(
+        scored, "doc_id bigint, n_tokens bigint, n_known bigint, base_score double, score double"
     )
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(n_train).cast("bigint").alias("train_tokens"), "base_score", "score")

@@ -419,6 +419,28 @@ def test_filter_holds_quantised_counts(spark):
     assert (small.levels(keys) >= 0).all()
 
 
+def test_lm_score_leaves_out_no_count(spark, documents, monkeypatch):
+    """Words count exactly and every n-gram is in the filter, over many shards and groups; a filter that would have to cut is refused."""
+    monkeypatch.setattr(lm_score, "shard_bits_for", lambda keys: 3)
+    monkeypatch.setattr(lm_score, "GROUP_BYTES", 20_000, raising=False)
+    rows = [(r["doc_id"], [*lm_score.token_hashes(r["text"].encode()).tolist()]) for r in documents.collect()]
+    train = documents.where(~lm_score.held_out(F.col("doc_id"))).select("text")
+    words = collections.Counter()
+    for i, t in rows:
+        if zlib.crc32(str(i).encode()) % 10:
+            words.update(t)
+    n, v = sum(words.values()), len(words)
+    bloom = lm_score.build_filter(train, n)
+    out = {r["doc_id"]: r["score"] for r in lm_score.score(documents).collect()}
+    for i, t in rows:
+        many = lm_score.count_of(bloom.levels(lm_score.ngram_keys(np.array(t, np.uint64), 2)[1]))
+        history = [words[int(lm_score.END)], *(words[w] for w in t[:-1])]
+        p = [(c + 2000 * (words[w] + 0.1) / (n + 0.1 * (v + 1))) / (max(h, c) + 2000) for c, w, h in zip(many, t, history)]
+        assert out[i] == pytest.approx(sum(math.log10(x) for x in p))
+    with pytest.raises(ValueError):
+        lm_score.build_filter(train, n, max_filter_bits=12)
+
+
 def test_pipeline(spark):
     """Each stage against brute force on what the one before kept."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
