@@ -44,7 +44,9 @@ TAG = re.compile(
     r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)",
     re.S,
 )
-ATTRIBUTE = re.compile(r"""\b(class|id|role|itemprop|hidden|aria-hidden|href)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+# One attribute after the other, each with its whole name, so that nothing inside a value counts as a name.
+ATTRIBUTE = re.compile(r"""[\s/]*+([^\s/>][^\s/>=]*+)(?:\s*+=\s*+("[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z)|[^\s>]*+))?+""")
+NAMING = frozenset(("class", "id", "role", "itemprop"))
 NAME_CUT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
 EDGES = re.compile(r"^\W+|\W+$")
 
@@ -81,7 +83,7 @@ def _names(attributes: str) -> tuple[set[str], bool, bool]:
             link = True
         elif key in ("hidden", "aria-hidden"):
             hidden = hidden or value.lower() in ("", "hidden", "true")
-        else:
+        elif key in NAMING:
             names.update(x.lower() for word in value.split() for x in (word, *NAME_CUT.split(word)) if x)
     return names, link, hidden
 

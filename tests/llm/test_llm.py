@@ -372,6 +372,15 @@ def test_html(spark):
     assert html_extract.extract(rows.where("false")).count() == 0
 
 
+def test_html_attributes_by_whole_name():
+    """Values of other attributes and names that only end like one say nothing."""
+    for tag in ('body style="overflow:hidden"', "article data-state='hidden'", 'article data-role="banner"', "article data-class=sidebar", 'article title="x class=sidebar"', "article style = overflow:hidden"):
+        assert html_extract.main_text(f"<{tag}><article><p>Text.</p></article>") == "Text.", tag
+    for tag in ("div hidden", 'div aria-hidden="true"', "div x=1 HIDDEN", "div class = 'x sidebar'", 'div/class="sidebar"', 'div a="1"role=banner'):
+        assert html_extract.main_text(f"<article><p>Text.</p><{tag}>away</div></article>") == "Text.", tag
+    assert html_extract._names("'" * 50_000 + "=" * 50_000) == (set(), False, False)
+
+
 def test_html_of_given_pages(spark):
     import html
 
