@@ -167,23 +167,42 @@ def stop_density(text: str) -> float:
     return sum(EDGES.sub("", w) in STOP_WORDS for w in words) / max(1, len(words))
 
 
+def _first_label(b: Block, content: bool) -> str:
+    """Link density, length and stop-word density; a block in the content has other thresholds."""
+    links = b.link_chars / max(1, len("".join(b.text.split())))
+    if b.surrounding:
+        return BAD
+    if links > (MAX_CONTENT_LINK_DENSITY if content else MAX_LINK_DENSITY):
+        return SHORT_BLOCK if content else BAD
+    density = stop_density(b.text)
+    if content or density >= STOP_HIGH and len(b.text) > LONG:
+        return GOOD
+    return SHORT_BLOCK if len(b.text) < SHORT else NEAR if density >= STOP_LOW else BAD
+
+
 def classify(blocks: list[Block]) -> None:
-    """First pass: place, link density, length and stop-word density. Second pass: undecided blocks
-    take the label of the nearest decided neighbours; at equal distance both have to be good."""
-    has_content = any(b.content and not b.surrounding for b in blocks)
+    """First pass: link density, length and stop-word density of all blocks. Second pass: undecided
+    blocks take the label of the nearest decided neighbours; at equal distance both have to be good.
+
+    Elements that call themselves the content lower the thresholds inside, and undecided blocks ask only
+    neighbours on their own side; long blocks outside with many stop words stay good. Where such blocks
+    outside hold more text than the content, its name is not believed, and place says nothing.
+    """
+    inside = outside = 0
     for b in blocks:
-        links = b.link_chars / max(1, len("".join(b.text.split())))
-        if b.surrounding:
-            b.label = BAD
-        elif b.content:
-            b.label = SHORT_BLOCK if links > MAX_CONTENT_LINK_DENSITY else GOOD
-        elif has_content or links > MAX_LINK_DENSITY:
-            b.label = BAD
-        elif len(b.text) < SHORT:
-            b.label = SHORT_BLOCK
-        else:
-            density = stop_density(b.text)
-            b.label = GOOD if density >= STOP_HIGH and len(b.text) > LONG else NEAR if density >= STOP_LOW else BAD
+        b.label = _first_label(b, b.content)
+        if b.label == GOOD:
+            inside, outside = inside + len(b.text) * b.content, outside + len(b.text) * (not b.content)
+    if outside > inside:
+        for b in blocks:
+            b.label = _first_label(b, False)
+        _ask_neighbours(blocks)
+    else:
+        _ask_neighbours([b for b in blocks if b.content])
+        _ask_neighbours([b for b in blocks if not b.content])
+
+
+def _ask_neighbours(blocks: list[Block]) -> None:
     before: list[tuple[str, int]] = []
     last, far = BAD, 0
     for b in blocks:

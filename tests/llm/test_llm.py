@@ -381,6 +381,20 @@ def test_html_attributes_by_whole_name():
     assert html_extract._names("'" * 50_000 + "=" * 50_000) == (set(), False, False)
 
 
+def test_html_place_does_not_decide_alone():
+    """A decoy with a content class hides no article; long rich blocks outside a true content element stay, the menu goes."""
+    good = ("the cat is in the house of the man and it was good " * 6).strip()
+    menu = "<ul><li><a href=x>Home</a></li></ul><div>Imprint</div>"
+    article = f"<p>{good}</p><p>short one</p><p>{good}</p>"
+    for name in ("post", "entry", "story", "main-teaser-content"):
+        assert html_extract.main_text(f'{menu}<div class="{name}">Read more</div><div>{article}</div>{menu}').endswith(f"{good}\nshort one\n{good}"), name
+    both = f"{menu}<article>{article}<p>More.</p>{article}</article>{menu}<section>{article}</section>{menu}"
+    inside = f"{good}\nshort one\n{good}"
+    assert html_extract.main_text(both) == f"{inside}\nMore.\n{inside}\n{inside}"
+    assert html_extract.main_text(f"{menu}{article}{menu}") == inside
+    assert html_extract.main_text(f"{menu}<article><p>Short.</p></article>{menu}") == "Short."
+
+
 def test_html_of_given_pages(spark):
     import html
 
