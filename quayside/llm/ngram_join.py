@@ -10,7 +10,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.broadcast import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quayside.llm._shared import attach, components, join_by_key, key_blocks, mixed, narrowed, shard_bits_for, summed_block, word_hashes
@@ -22,6 +22,9 @@ MAX_SLOT_BITS = 25
 CELLS = 16
 HUB_PAIRS = 2000
 ROUND_PAIRS = 4
+CHUNK_ROWS = 2048
+CHUNK_TOKENS = 1_000_000
+TILE = 256
 
 
 def shingles(text: bytes, width: int = WORDS) -> np.ndarray:
@@ -229,12 +232,112 @@ def link_components(sets: DataFrame, percent: int) -> DataFrame:
     return found
 
 
+def _overlaps(x: list[np.ndarray], y: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    """Common n-grams of each of `x` with each of `y`."""
+    out = np.zeros((len(x), len(y)), np.float32)
+    shared = np.intersect1d(np.concatenate(x), np.concatenate(y))
+
+    def places(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        tokens, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(t) for t in sets])
+        at = np.minimum(np.searchsorted(shared, tokens), len(shared) - 1)
+        there = shared[at] == tokens
+        at, row = at[there], row[there]
+        order = np.argsort(at)
+        return at[order], row[order]
+
+    if len(shared):
+        (ax, rx), (ay, ry) = places(x), places(y)
+        for start in range(0, len(shared), columns):
+            parts = []
+            for at, row, n in ((ax, rx, len(x)), (ay, ry, len(y))):
+                some = slice(*np.searchsorted(at, [start, start + columns]))
+                part = np.zeros((n, min(columns, len(shared) - start)), np.float32)
+                part[row[some], at[some] - start] = 1
+                parts.append(part)
+            out += parts[0] @ parts[1].T
+    return out
+
+
+def _links(sets: DataFrame, found: DataFrame, percent: int, *, pairs: bool) -> DataFrame:
+    """All links between the documents of `sets`: `(a, b)` with a < b, or `(node, n_links)`.
+
+    Both ends of a link are in one component of `found`. A component is dealt into chunks, and a task
+    gets two chunks, so none holds more than those of a large component; every pair of its documents is
+    verified exactly once. The work is the square of the distinct texts in a component.
+    """
+    members = written(sets.join(found, F.col("doc_id") == F.col("node")).select("component", "doc_id", "n", "tokens"), "members")
+    chunks = F.ceil(F.greatest(F.count(F.lit(1)) / CHUNK_ROWS, F.sum(F.size("tokens")) / CHUNK_TOKENS)).cast("int")
+    sizes = written(members.groupBy("component").agg(F.count(F.lit(1)).alias("_n"), chunks.alias("_k")), "sizes")
+    few = max(1, members.count() // CHUNK_ROWS)
+    dealt = attach(members, sizes, "component", "_n", F.col("doc_id")).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("_k")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
+    i, j = F.least("own", "other"), F.greatest("own", "other")
+    # Small components share a task; what meets in one by chance is told apart there.
+    cell = F.when(F.col("_k") == 1, F.pmod(F.xxhash64("component"), F.lit(few))).otherwise(F.xxhash64("component", i, j))
+    schema = "a bigint, b bigint" if pairs else "node bigint, n_links bigint"
+    names = [column.split()[0] for column in schema.split(", ")]
+
+    def run(block: pd.DataFrame) -> pd.DataFrame:
+        out = [np.zeros((2, 0), np.int64)]
+        for (_, low, high), part in block.groupby(["component", "i", "j"], sort=False):
+            sides = []
+            for own in (low, high):
+                side = part[part["own"] == own]
+                sides.append((side["doc_id"].to_numpy(), side["n"].to_numpy(np.int64), list(side["tokens"])))
+            (ids, n, tokens), (ids2, n2, tokens2) = sides
+            counts, counts2 = np.zeros(len(ids), np.int64), np.zeros(len(ids2), np.int64)
+            for s in range(0, len(ids), TILE):
+                for t in range(s if low == high else 0, len(ids2), TILE):
+                    x, y = slice(s, s + TILE), slice(t, t + TILE)
+                    linked = _overlaps(tokens[x], tokens2[y]) * (100 + percent) >= (n[x, None] + n2[None, y]) * percent
+                    if low == high and s == t:
+                        linked = np.triu(linked, 1)
+                    if pairs:
+                        u, v = np.nonzero(linked)
+                        u, v = ids[x][u], ids2[y][v]
+                        out.append(np.array([np.minimum(u, v), np.maximum(u, v)]))
+                    else:
+                        counts[x] += linked.sum(1)
+                        counts2[y] += linked.sum(0)
+            if not pairs:
+                out += [np.array([ids, counts]), np.array([ids2, counts2])]
+        return pd.DataFrame(dict(zip(names, np.concatenate(out, axis=1))))
+
+    rows = dealt.select(cell.alias("cell"), "component", i.alias("i"), j.alias("j"), "own", "doc_id", "n", "tokens")
+    links = rows.groupBy("cell").applyInPandas(run, schema)
+    return links if pairs else written(links.groupBy("node").agg(F.sum("n_links").alias("n_links")), "links")
+
+
+def _prepared(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The rows with the keys of their sets, the classes of equal sets, and their representatives that may link."""
+    members = written(_sets(docs, width), "sets")
+    classes = written(
+        members.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("_n")), "classes"
+    )
+    total = members.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    common = docs.sparkSession.sparkContext.broadcast(frequencies(docs.select("text"), total, width))
+    reps = classes.where("rep is not null").select(F.col("rep").alias("_r"))
+    sets = _candidates(docs, common, width, percent)
+    return members, classes, written(sets.join(reps, F.col("doc_id") == F.col("_r"), "left_semi").dropDuplicates(["doc_id"]), "candidates")
+
+
+def _by_row(members: DataFrame, named: DataFrame) -> DataFrame:
+    """The rows of `members` with the columns of their class in `named(key, _n, ...)`."""
+    keyed = members.withColumn("_key", F.coalesce("key", F.concat(F.lit(b"-"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))))
+    return join_by_key(keyed, written(named, "named").withColumnRenamed("key", "_key"), "_key", "_n", F.col("doc_id"))
+
+
+def _or_own_id(column: str) -> Column:
+    return F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col(column)).alias(column)
+
+
 def similar_documents(docs: DataFrame, *, width: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """One row per row of `docs(doc_id, text, ...)`: `doc_id, n_shingles, component_id`.
+    """One row per row of `docs(doc_id, text, ...)`: `doc_id, n_shingles, component_id, class_id, n_links`.
 
     Two documents link when 100 * common >= percent * union for their sets of n-grams of `width`
     words; `component_id` is the smallest id reachable by links. Documents with equal sets are one
-    class, whose smallest id stands for it. Counts of all n-grams order them rare first; classes
+    class, whose smallest id stands for it and is `class_id`; `n_links` says how many other classes
+    link with it (`similar_pairs` gives them). Counts of all n-grams order them rare first; classes
     share prefix n-grams when similar, and `link_components` verifies those.
 
     A null or empty text, or one of white space, has no n-grams and links with nothing. A null id
@@ -242,23 +345,27 @@ def similar_documents(docs: DataFrame, *, width: int = WORDS, percent: int = PER
     class; different texts are taken to have different ids. Other columns are ignored. Each pass reads the whole texts where they lie; only hashes
     are shuffled.
     """
-    members = written(_sets(docs, width), "sets")
-    classes = written(
-        members.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("_n")), "classes"
-    )
-    total = members.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    common = docs.sparkSession.sparkContext.broadcast(frequencies(docs.select("text"), total, width))
-    reps = classes.where("rep is not null").select(F.col("rep").alias("_r"))
-    sets = _candidates(docs, common, width, percent)
-    sets = written(sets.join(reps, F.col("doc_id") == F.col("_r"), "left_semi").dropDuplicates(["doc_id"]), "candidates")
+    members, classes, sets = _prepared(docs, width, percent)
     found = link_components(sets, percent)
-    named = written(
-        classes.join(found, F.col("rep") == F.col("node"), "left").select("key", "_n", F.coalesce("component", "rep").alias("component_id")),
-        "named",
-    )
-    keyed = members.withColumn("_key", F.coalesce("key", F.concat(F.lit(b"-"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))))
-    rows = join_by_key(keyed, named.withColumnRenamed("key", "_key"), "_key", "_n", F.col("doc_id"))
-    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    links = _links(sets, found, percent, pairs=False)
+    joined = classes.join(found, F.col("rep") == F.col("node"), "left").drop("node").join(links, F.col("rep") == F.col("node"), "left")
+    named = joined.select("key", "_n", F.coalesce("component", "rep").alias("component_id"), F.col("rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
+    rows = _by_row(members, named)
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), _or_own_id("component_id"), _or_own_id("class_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
+
+
+def similar_components(docs: DataFrame, *, width: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """`doc_id, n_shingles, component_id` as in `similar_documents`, without finding all links."""
+    members, classes, sets = _prepared(docs, width, percent)
+    found = link_components(sets, percent)
+    named = classes.join(found, F.col("rep") == F.col("node"), "left").select("key", "_n", F.coalesce("component", "rep").alias("component_id"))
+    return _by_row(members, named).select("doc_id", F.col("n").alias("n_shingles"), _or_own_id("component_id"))
+
+
+def similar_pairs(docs: DataFrame, *, width: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """All links `(a, b)`, a < b, between the classes of `similar_documents`, by the smallest ids of both."""
+    _, _, sets = _prepared(docs, width, percent)
+    return _links(sets, link_components(sets, percent), percent, pairs=True)
 
 
 def drop_similar(docs: DataFrame) -> DataFrame:
@@ -266,6 +373,6 @@ def drop_similar(docs: DataFrame) -> DataFrame:
 
     Rows without an id stay.
     """
-    rows = similar_documents(docs.select("doc_id", "text"))
+    rows = similar_components(docs.select("doc_id", "text"))
     dropped = rows.where("doc_id <> component_id").select(F.col("doc_id").alias("_d")).distinct()
     return docs.join(dropped, F.col("doc_id") == F.col("_d"), "left_anti")

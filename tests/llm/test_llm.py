@@ -262,6 +262,39 @@ def test_ngram_join_edges(spark, edge, empty):
     assert kept.columns == edge.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "2", "3", "4", "4", "5", "6", "None", "None"]
 
 
+def test_ngram_join_finds_every_link(spark, monkeypatch):
+    """Also those inside a component, with a chain, copies, a null id and large components in chunks."""
+    monkeypatch.setattr(ngram_join, "CHUNK_ROWS", 7, raising=False)
+    random.seed(11)
+    word = lambda: "".join(random.choices("abcdefgh", k=4))
+    first = [word() for _ in range(120)]
+    rows = []
+    for _ in range(30):
+        copy = list(first)
+        copy[random.randrange(120)] = word()
+        rows.append(" ".join(copy))
+    chain = list(first)
+    for _ in range(12):
+        chain[random.randrange(120)] = word()
+        rows.append(" ".join(chain))
+    rows += [" ".join(first), " ".join(first).upper(), " ".join(word() for _ in range(50)), "", "two words"]
+    numbered = list(enumerate(rows))
+    sets = {}
+    for i, text in numbered:
+        w = text.lower().split()
+        sets[i] = frozenset(zip(*(w[k:] for k in range(5)))) if len(w) > 4 else frozenset([tuple(w)] if w else [])
+    rep = {i: min(k for k in sets if sets[k] == x) if x else i for i, x in sets.items()}
+    reps = sorted({rep[i] for i in sets if sets[i]})
+    want = {(a, b) for a in reps for b in reps if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    docs = docs_of(spark, [*((i, t, "a") for i, t in numbered), (None, rows[0], "a")])
+    pairs = [tuple(r) for r in ngram_join.similar_pairs(docs).collect()]
+    assert len(pairs) == len(set(pairs)) and set(pairs) == want and len(want) > 400
+    links = collections.Counter(x for pair in want for x in pair)
+    out = ngram_join.similar_documents(docs).collect()
+    assert sorted((r["doc_id"], r["class_id"], r["n_links"]) for r in out if r["doc_id"] is not None) == [(i, rep[i], links[rep[i]]) for i in sorted(sets)]
+    assert [(r["class_id"], r["n_links"]) for r in out if r["doc_id"] is None] == [(rep[0], links[rep[0]])]
+
+
 # 6 mixing
 def test_mixing(spark, documents, edge, empty):
     sizes = {"a": 1000, "b": 100, None: 5000, "é": 300}
