@@ -6,8 +6,23 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quayside.llm import chat_format, exact_dedup, html_extract, lm_score, mixing, ngram_join, packing, quality_rules, toxicity, warc
+from quayside.llm import (
+    chat_format,
+    decontaminate,
+    exact_dedup,
+    hard_negatives,
+    html_extract,
+    lm_score,
+    merkle,
+    mixing,
+    ngram_join,
+    packing,
+    quality_rules,
+    toxicity,
+    warc,
+)
 from quayside.llm._shared import table
 from quayside.workspace import written
 
@@ -73,6 +88,26 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score(table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector among all; every seventh has the next label."""
+    vectors = table(spark, sf_dir, "embeddings")
+    relabelled = vectors.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives.mine(relabelled, F.col("vec_id") % 100 == 0)
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest of all documents; those whose id has a checksum that 3 divides claim their text in lower case."""
+    suspect = F.crc32(F.col("doc_id").cast("string")) % 3 == 0
+    claimed = F.when(suspect, merkle.in_lower_case(F.col("text"))).otherwise(F.col("text"))
+    return merkle.manifest(table(spark, sf_dir, "documents"), claimed=claimed).drop("proof_at", "proof_others")
+
+
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of the benchmark is in each of all documents."""
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", decontaminate.items_digest(F.col("items")).alias("items_sha256"), "contaminated")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_quality_rules": op2_quality_rules,
@@ -84,6 +119,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_html_extract": op9_html_extract,
     "op10_lm_score": op10_lm_score,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_decontamination": op13_decontamination,
 }
 
 # The pattern of sentence ends as a SQL text literal holds it.
@@ -149,4 +187,77 @@ ORACLES: dict[str, str] = {
                doc_id = min(doc_id) over w as kept, sha256(body) as text_sha256
         from t window w as (partition by body)
     """,
+    "op11_hard_negatives": """
+        with p as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+                          list_transform(embedding, lambda x: floor(256 * cast(x as double))) as q
+                   from embeddings
+                   where vec_id is not null and label is not null and embedding is not null
+                     and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+             a as (select * from p where vec_id % 100 = 0),
+             s as (select a.vec_id as anchor_id, a.label as own, p.vec_id as other_id, p.label, cast(list_dot_product(a.q, p.q) as bigint) as score
+                   from a join p on p.vec_id <> a.vec_id),
+             y as (select anchor_id, other_id as positive_id, score as positive_score from s where label = own
+                   qualify row_number() over (partition by anchor_id order by score desc, other_id) <= 5),
+             n as (select y.*, s.other_id as negative_id, s.score as negative_score,
+                          row_number() over (partition by y.anchor_id, y.positive_id order by s.score desc, s.other_id) as place
+                   from y join s on s.anchor_id = y.anchor_id and s.label <> s.own
+                        and 80 * y.positive_score <= 100 * s.score and s.score <= y.positive_score)
+        select anchor_id, positive_id, cast(place as integer) as rank, negative_id, positive_score, negative_score from n where place <= 5
+    """,
+    "op12_merkle_manifest": r"""
+        with recursive
+             d as materialized (
+                 select row_number() over () as rid, doc_id, source, lang, n_chars, text, coalesce('=' || lang, '') as tree,
+                        xor(list_reduce(list_concat([4294967295], list_transform(string_split(cast(doc_id as varchar), ''), lambda x: cast(ascii(x) as bigint))),
+                                        lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0],
+                                                                 lambda x, y: case when x % 2 = 1 then xor(x >> 1, 3988292384) else x >> 1 end)), 4294967295) as crc
+                 from documents),
+             e as (select *, case when crc % 3 = 0 then translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') else text end as claimed,
+                          list_reduce(list_transform([cast(doc_id as varchar), source, lang, cast(n_chars as varchar)],
+                                                     lambda x: case when x is null then '-' else octet_length(encode(x)) || ':' || x end), lambda a, b: a || b) as head from d),
+             h as (select rid, doc_id, tree, sha256(head || case when text is null then '-' else octet_length(encode(text)) || ':' || text end) as leaf,
+                          sha256(head || case when claimed is null then '-' else octet_length(encode(claimed)) || ':' || claimed end) as claim from e),
+             l as materialized (select *, row_number() over (partition by tree order by doc_id nulls first, leaf) - 1 as idx, count(*) over (partition by tree) as n from h),
+             nodes as (select tree, 0 as level, idx, n, leaf as digest from l
+                       union all
+                       select tree, level + 1, idx // 8, any_value((n + 7) // 8), sha256(string_agg(digest, '' order by idx))
+                       from nodes where n > 1 group by tree, level, idx // 8),
+             tops as materialized (select tree, digest, row_number() over (order by tree) - 1 as idx, count(*) over () as n from nodes where n = 1),
+             above as (select 0 as level, idx, n, digest from tops
+                       union all
+                       select level + 1, idx // 8, any_value((n + 7) // 8), sha256(string_agg(digest, '' order by idx))
+                       from above where n > 1 group by level, idx // 8),
+             seen as (select l.rid, cast(nodes.level as bigint) as level, nodes.idx as there, l.idx >> (3 * nodes.level) as own, nodes.digest
+                      from l join nodes on nodes.tree = l.tree and nodes.n > 1 and nodes.idx >> 3 = l.idx >> (3 * nodes.level + 3)
+                      union all
+                      select l.rid, 1000 + above.level, above.idx, tops.idx >> (3 * above.level), above.digest
+                      from l join tops using (tree) join above on above.n > 1 and above.idx >> 3 = tops.idx >> (3 * above.level + 3)),
+             runs as materialized (select rid, row_number() over (partition by rid order by level) - 1 as step,
+                                          coalesce(string_agg(digest, '' order by there) filter (where there < own), '') as before,
+                                          coalesce(string_agg(digest, '' order by there) filter (where there > own), '') as after
+                                   from seen group by rid, level),
+             proofs as (select rid, string_agg(before || after, '' order by step) as others from runs group by rid),
+             folds as (select rid, cast(0 as bigint) as step, claim as digest from l
+                       union all
+                       select rid, step + 1, sha256(before || digest || after) from folds join runs using (rid, step)),
+             ends as (select rid, arg_max(digest, step) as folded_root from folds group by rid),
+             root as (select digest as root from above where n = 1)
+        select doc_id, leaf, tops.digest as subroot, root, sha256(coalesce(others, '')) as proof_sha256, folded_root, folded_root = root as verified
+        from l join tops using (tree) join ends using (rid) left join proofs using (rid) cross join root
+    """,
+    "op13_decontamination": r"""
+        with d as (select row_number() over () as rid, doc_id,
+                          regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+             i as (select coalesce(cast(item_id as varchar), '') as item,
+                          regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
+             p as (select item, w, least(10, len(w)) as size, unnest(range(1, len(w) - least(10, len(w)) + 2)) as k from i where len(w) > 0),
+             windows as (select distinct item, size, array_to_string(list_slice(w, k, k + size - 1), ' ') as words from p),
+             q as (select rid, w, size, unnest(range(1, len(w) - size + 2)) as k from d cross join (select distinct size from windows)),
+             hits as materialized (select rid, k, size, item from (select rid, k, size, array_to_string(list_slice(w, k, k + size - 1), ' ') as words from q) join windows using (size, words)),
+             places as (select rid, count(distinct place) as n_hit from (select rid, unnest(range(k, k + size)) as place from hits) group by rid),
+             items as (select rid, count(distinct item) as n_items, string_agg(distinct item, ',' order by item) as ids from hits group by rid)
+        select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+               sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+        from d left join places using (rid) left join items using (rid)
+    """,
 }
