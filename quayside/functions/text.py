@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,3 +30,8 @@ def line_byte_count(line: Column) -> Column:
     """Bytes of a line read without its newline, which counts. A carriage return before it is part
     of the line; a last line without a newline counts one byte more than the file has."""
     return (F.octet_length(line) + 1).cast("bigint")
+
+
+def delimited_line(fields: Sequence[Column], separator: str, null_text: str) -> Column:
+    """Text fields in one line; NULL as `null_text`, so that no field moves into the place of another."""
+    return F.concat_ws(separator, *[F.coalesce(field, F.lit(null_text)) for field in fields])

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quayside.functions.logs import access_log_fields
 from quayside.functions.text import byte_count, line_count, word_count
+from quayside.sources.listing import relative, root_path
 
 
 def access_log_rollup(lines: DataFrame, line: str = "value") -> DataFrame:
@@ -35,6 +36,25 @@ def text_counts(df: DataFrame, key: str, text: str) -> DataFrame:
     )
 
 
+def file_text_counts(spark: SparkSession, path: str) -> DataFrame:
+    """`key, lines, words, bytes` of each file below `path`, `key` being its place there: what `wc` counts.
+
+    Files are read as text split at line feeds alone, so carriage returns count as bytes. A file whose
+    last line has no line feed holds one byte less than its lines with one each: that difference to the size that
+    the storage states is taken off lines and bytes, whichever task has read the end. Spark reads no
+    files without bytes, so these have no row. Words are separated by ASCII white space.
+    """
+    lines = spark.read.option("lineSep", "\n").option("recursiveFileLookup", True).text(path)
+    rows = lines.select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_size").alias("_size"))
+    counted = rows.groupBy("_file", "_size").agg(
+        F.count(F.lit(1)).alias("_rows"), F.sum(word_count(F.col("value"))).alias("words"), F.sum(F.octet_length("value") + 1).alias("_bytes")
+    )
+    open_end = F.col("_bytes") - F.col("_size")
+    # Spark states this path with %XX for what a URI cannot hold, and with a plain plus sign.
+    key = relative(F.url_decode(F.replace("_file", F.lit("+"), F.lit("%2B"))), root_path(spark, path))
+    return counted.select(key.alias("key"), (F.col("_rows") - open_end).alias("lines"), "words", F.col("_size").alias("bytes"))
+
+
 def trailing_measure(df: DataFrame, key: str, day: str, days: int = 7) -> DataFrame:
     """Per key and day with rows: the rows of the day and of the `days` days that end with it.
 

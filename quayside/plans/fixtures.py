@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quayside.operators.sinks import write_delimited, write_lines, write_partitioned
 from quayside.workspace import new_path
 
 STAGED = ["order_id", "first_name", "last_name", "item_code", "order_date"]
@@ -31,30 +34,54 @@ def staged_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def as_text(df: DataFrame) -> DataFrame:
-    return df.select([F.col(c).cast("string").alias(c) for c in df.columns])
+def delimited_files(df: DataFrame, label: str) -> str:
+    """A folder of headered files without quotes, the columns as text."""
+    path = new_path(df.sparkSession, label)
+    write_delimited(df, path)
+    return path
 
 
-def delimited_files(df: DataFrame, label: str) -> str:
-    """A folder of headered files with the columns as text."""
+def tab_lines(df: DataFrame, label: str) -> str:
+    """A folder of tab separated lines."""
     path = new_path(df.sparkSession, label)
-    as_text(df).write.option("header", True).option("escape", '"').csv(path)
+    write_lines(df, path)
     return path
 
 
-def orders_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders with the text partition `dt` (yyyyMMdd), written and read as a partitioned table."""
+def orders_by_month(spark: SparkSession, sf_dir: str, columns: Sequence[str]) -> DataFrame:
+    """Some columns of the orders with the text partition `dt` (yyyyMM), written and read as a partitioned table."""
     path = new_path(spark, "orders_by_dt")
-    orders = table(spark, sf_dir, "orders").withColumn("dt", F.date_format("o_orderdate", "yyyyMMdd"))
-    orders.write.partitionBy("dt").parquet(path)
+    orders = table(spark, sf_dir, "orders").select(*columns, F.date_format("o_orderdate", "yyyyMM").alias("dt"))
+    write_partitioned(orders, path, ["dt"])
     return spark.read.schema(orders.schema).parquet(path)
 
 
-def events_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events with the text partitions `month` and `day`."""
+def dated_orders(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Orders with the day `upd` of their last change, and further versions of every fifth, 400 days later; many share a day."""
+    first = table(spark, sf_dir, "orders").select(
+        "o_orderkey", F.col("o_orderstatus").alias("status"), F.to_date("o_orderdate").alias("upd"), F.pmod("o_orderkey", F.lit(8)).cast("int").alias("part")
+    )
+    later = first.where("o_orderkey % 5 = 0").withColumns({"status": F.lit("U"), "upd": F.date_add("upd", 400)})
+    return first, later
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", "event_type", "ts")
+
+
+def events_by_day(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str]:
+    """Events with the text partitions `month` and `day`, and the folder that they lie in."""
     path = new_path(spark, "events_by_day")
-    events = table(spark, sf_dir, "events").withColumns({"month": F.date_format("ts", "MM"), "day": F.date_format("ts", "dd")})
-    events.write.partitionBy("month", "day").parquet(path)
+    events = _events(spark, sf_dir).select("event_id", "event_type", F.date_format("ts", "MM").alias("month"), F.date_format("ts", "dd").alias("day"))
+    write_partitioned(events, path, ["month", "day"])
+    return spark.read.schema(events.schema).parquet(path), path
+
+
+def events_by_date(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events partitioned by the date `d`."""
+    path = new_path(spark, "events_by_date")
+    events = _events(spark, sf_dir).select("event_id", "event_type", F.to_date("ts").alias("d"))
+    write_partitioned(events, path, ["d"])
     return spark.read.schema(events.schema).parquet(path)
 
 
@@ -74,12 +101,19 @@ def access_log(spark: SparkSession, sf_dir: str) -> str:
     return path
 
 
+ORDERS_PER_DOCUMENT = 4096
+
+
 def json_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per customer an array of rows with a header; every other customer has the columns in another order."""
+    """Arrays of rows with a header, one per customer and range of order keys; every other customer has the columns in another order.
+
+    A range holds ORDERS_PER_DOCUMENT keys, which are unique, so no document grows with a customer.
+    """
     swapped = F.col("o_custkey") % 2 == 1
     a, b = F.col("o_orderkey").cast("string"), F.col("o_orderstatus")
     row = F.when(swapped, F.array(b, a)).otherwise(F.array(a, b))
     header = F.when(swapped, F.array(F.lit("value"), F.lit("key"))).otherwise(F.array(F.lit("key"), F.lit("value")))
     rows = F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", row.alias("r")))), lambda x: x["r"])
-    grouped = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(rows.alias("rows"), F.first(header).alias("header"))
-    return grouped.select("o_custkey", F.to_json(F.concat(F.array("header"), "rows")).alias("doc"))
+    chunk = F.floor(F.col("o_orderkey") / ORDERS_PER_DOCUMENT).cast("bigint").alias("chunk")
+    grouped = table(spark, sf_dir, "orders").groupBy("o_custkey", chunk).agg(rows.alias("rows"), F.first(header).alias("header"))
+    return grouped.select("o_custkey", "chunk", F.to_json(F.concat(F.array("header"), "rows")).alias("doc"))

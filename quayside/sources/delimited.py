@@ -61,9 +61,11 @@ def scan_delimited(
     return rows.select([value.alias(name) for value, name in zip(values, columns)])
 
 
-def scan_csv(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
+def scan_csv(spark: SparkSession, path: str, columns: Sequence[str], *, null_text: str = "") -> DataFrame:
     """Scan headered CSV whose quotes are doubled inside quoted fields; every column is text.
 
+    An empty field is NULL, and so is one that is `null_text`; with a `null_text`, `""` is an empty text.
+
     A record is one line, so files are split for reading. A header in another order, a line with
     an odd number of quotes (a field with a line break) and a line with too few or too many fields make
     the scan fail; nothing is read by position or cut.
@@ -72,7 +74,7 @@ def scan_csv(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFram
     odd = (F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))) % 2 == 1
     checked = F.when(odd, F.raise_error(F.concat(F.lit("a quoted field goes on in the next line: "), line))).otherwise(line)
     schema = ", ".join(f"{quoted_name} string" for quoted_name in ("`" + c.replace("`", "``") + "`" for c in columns))
-    parsed = F.from_csv(checked, schema, {"mode": "FAILFAST", "escape": '"'})
+    parsed = F.from_csv(checked, schema, {"mode": "FAILFAST", "escape": '"', "nullValue": null_text})
     return _lines(spark, path, ",".join(columns)).select(parsed.alias("_r")).select("_r.*")
 
 
