@@ -140,7 +140,8 @@ def mix(docs: DataFrame, *, weights: Sequence[float] = (1, 2, 3), share: float =
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """`docs` as the mix has them: each row as many times as the mix takes it."""
+    """`docs` as the mix has them: each row as many times as the mix takes it. All columns are kept as they are, whatever their names."""
     plan = mixing_plan(docs)[1]
-    copies = _copies(_sized(docs), plan).where("_copies > 0")
-    return copies.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "doc_id", "text", "source")
+    copies = _copies(_sized(rows).drop("text"), plan).where("_copies > 0")
+    return copies.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select("_row.*")

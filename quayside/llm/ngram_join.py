@@ -2,237 +2,138 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quayside.llm._shared import attach, components, join_by_key, key_blocks, mixed, narrowed, shard_bits_for, summed_block, word_hashes
+from quayside.llm._shards import cuts, group_bytes, grouped_texts, ids_of, of_groups, shard_bits, summed, ungrouped, words_in
+from quayside.llm._shared import attach, components, join_by_key
+from quayside.llm._words import packed, shingles, unpacked
 from quayside.workspace import written
 
 WORDS = 5
 PERCENT = 80
-MAX_SLOT_BITS = 25
+TOKEN_BITS = 56
+ASKED_BITS = 40
 CELLS = 16
-HUB_PAIRS = 2000
-ROUND_PAIRS = 4
-CHUNK_ROWS = 2048
-CHUNK_TOKENS = 1_000_000
-TILE = 256
+BLOCK_ROWS = 256
+BLOCK_TOKENS = 500_000
+TASK_ROWS = 2048
+TASK_TOKENS = 2_000_000
+COLUMNS = 4096
 
 
-def shingles(text: bytes, width: int = WORDS) -> np.ndarray:
-    """Distinct 64-bit hashes of the word n-grams, sorted; fewer words than `width` are one n-gram.
-
-    Hashes stand for n-grams: that two of a text of 20,000 words share one has a chance of 1 in 10^11.
-    """
-    words = word_hashes(text)
-    if not len(words):
-        return words
-    n = min(width, len(words))
-    keys = mixed(words[: len(words) - n + 1] + np.uint64(n))
-    with np.errstate(over="ignore"):
-        for i in range(1, n):
-            keys = mixed(keys * np.uint64(0xD6E8FEB86659FD93) + words[i : len(words) - n + 1 + i])
-    return np.unique(keys)
-
-
-@dataclass
-class Frequencies:
-    """How common an n-gram is, by the slot of its hash: 0 where no n-gram of the slot occurs twice,
-    else the logarithm of the largest count. Every task sees the same value, so it gives one order
-    of all n-grams; its size is bounded, and a shared slot can only make an n-gram look more common."""
-
-    slots: np.ndarray
-    bits: int
-
-    def levels(self, keys: np.ndarray) -> np.ndarray:
-        return self.slots[(keys >> np.uint64(64 - self.bits)).astype(np.int64)]
-
-
-def frequencies(texts: DataFrame, n_shingles: int, width: int) -> Frequencies:
-    """Exact counts over all texts, summed by shards of the hash space, kept as slots of one byte."""
-    shard_bits = shard_bits_for(n_shingles)
-    bits = max(shard_bits, 10)
-    while bits < MAX_SLOT_BITS and 1 << bits < n_shingles:
-        bits += 1
-    own = 1 << (bits - shard_bits)
-
-    def region(block: pd.DataFrame) -> pd.DataFrame:
-        keys, counts = summed_block(block)
-        keys, counts = keys[counts > 1], counts[counts > 1]
-        slots = np.zeros(own, np.uint8)
-        np.maximum.at(slots, (keys >> np.uint64(64 - bits)).astype(np.int64) & (own - 1), (np.log2(counts) * 4).astype(np.uint8))
-        return pd.DataFrame({"shard": [int(block["shard"].iloc[0])], "region": [slots.tobytes()]})
-
-    regions = written(key_blocks(texts, lambda text: shingles(text, width), shard_bits).groupBy("shard").applyInPandas(region, "shard int, region binary"), "frequencies")
-    slots = np.zeros(1 << bits, np.uint8)
-    for row in regions.toLocalIterator():
-        slots[row["shard"] * own : (row["shard"] + 1) * own] = np.frombuffer(row["region"], np.uint8)
-    return Frequencies(slots, bits)
-
-
-def least_overlap(x: int, percent: int) -> int:
+def least_overlap(x: np.ndarray | int, percent: int) -> np.ndarray | int:
     """Common n-grams that a set of `x` needs with any similar one."""
     return -(-percent * x // 100)
 
 
-def _sets(docs: DataFrame, width: int) -> DataFrame:
-    """`(doc_id, n, key)`: the size of the set and a 128-bit hash of it; null key for no words."""
+def _levels(counts: np.ndarray) -> np.ndarray:
+    """How common n-grams are that as many texts have: 0 for one text, else four times the logarithm to base 2."""
+    return np.minimum(4 * np.log2(np.maximum(counts, 1)), 255).astype(np.uint8)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sizes, keys = [], []
-            for text in batch.column(1):
-                found = shingles(text.as_py().encode() if text.is_valid else b"", width)
-                sizes.append(len(found))
-                keys.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest() if len(found) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary())], names=["doc_id", "n", "key"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, n bigint, key binary")
+def _set_keys(tokens: np.ndarray, sizes: np.ndarray) -> list[bytes | None]:
+    """A 128-bit hash of each set; None for an empty one."""
+    ends = np.cumsum(sizes)
+    return [blake2b(tokens[a:b].tobytes(), digest_size=16).digest() if a < b else None for a, b in zip((ends - sizes).tolist(), ends.tolist())]
 
 
-def _candidates(docs: DataFrame, common: Broadcast, width: int, percent: int) -> DataFrame:
-    """Documents that may have a partner: `(doc_id, n, alone, prefix, tokens, cells, weight)`.
+def _asked(tokens: np.ndarray, bits: int) -> np.ndarray:
+    """The part of n-gram hashes that is counted: the `bits` that pick the shard and ASKED_BITS more."""
+    return tokens >> np.uint64(max(0, TOKEN_BITS - ASKED_BITS - bits))
 
-    `tokens` are the n-grams that occur elsewhere, rare first; the `alone` others would come before
-    them. A document with fewer of them than it needs in common has no partner. `prefix` is how
-    many of `tokens` lie in the prefix, `cells` counts them by hash for the suffix filter, and `weight` says how
-    common they are, so that the original of many copies comes out first.
-    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "n", "alone", "prefix", "tokens", "cells", "weight"]
-        types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.int64()]
-        for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                keys = shingles(text.as_py().encode() if text.is_valid else b"", width)
-                if not len(keys) or doc_id is None:
-                    continue
-                levels = common.value.levels(keys)
-                there = levels > 0
-                some, n = keys[there], len(keys)
-                need = least_overlap(n, percent)
-                if len(some) < need:
-                    continue
-                order = np.lexsort((some, levels[there]))
-                alone = n - len(some)
-                cells = np.bincount((some & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
-                rows.append((doc_id, n, alone, n - need + 1 - alone, some[order].view(np.int64), cells, int(levels[there].sum(dtype=np.int64)) * 1000 // n))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), types)], names=names)
-
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(
-        run, "doc_id bigint, n int, alone int, prefix int, tokens array<bigint>, cells array<int>, weight bigint"
-    )
+SETS = "doc_id bigint, content bigint, n bigint, key binary, alone int, prefix int, last int, tokens array<bigint>, cells array<int>"
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """`pairs(a, b)` with `linked`; the sets of a hub with many pairs are dealt out in copies."""
-    n = pairs.count()
-    hubs = narrowed(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / HUB_PAIRS).cast("int").alias("_copies"), F.count(F.lit(1)).alias("_n")), n, "hubs")
-    per_hub = hubs.select("a", "_copies")
-    left = (
-        sets.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"), F.col("cells").alias("ca"))
-        .join(per_hub, "a")
-        .withColumn("_copy", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)))
-    )
-    dealt = attach(pairs, hubs, "a", "_n", F.col("b")).withColumn("_copy", F.pmod(F.xxhash64("b"), F.col("_copies")).cast("int"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"), F.col("cells").alias("cb"))
-    both = dealt.select("a", "b", "_copy").join(right, "b").join(left.drop("_copies"), ["a", "_copy"])
-    need = (F.col("na") + F.col("nb")) * percent
-    # Suffix filter: by parts of the hash space, the common n-grams are at most the smaller counts.
-    most = F.aggregate(F.zip_with("ca", "cb", lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
-    common = F.when(most * (100 + percent) >= need, F.size(F.array_intersect("ta", "tb"))).otherwise(0)
-    return both.select("a", "b", (common * (100 + percent) >= need).alias("linked"))
-
-
-def _pairs(x: DataFrame, y: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs of rows that share a prefix n-gram, lie in different components and pass the
-    length and the positional filter. `x` and `y` have `token, doc_id, n, at, component`."""
-    other = y.select("token", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("at").alias("jb"), F.col("component").alias("cb"))
-    joined = x.join(other, "token").where("component <> cb")
-    shorter, longer = F.least("n", "nb"), F.greatest("n", "nb")
-    # At most the n-grams before both places, this one, and those after both are common.
-    most = F.least("at", "jb") + 1 + F.least(F.col("n") - F.col("at") - 1, F.col("nb") - F.col("jb") - 1)
-    return (
-        joined.where((shorter * 100 >= longer * percent) & (most * (100 + percent) >= (F.col("n") + F.col("nb")) * percent))
-        .select(F.col("doc_id").alias("a"), "b")
-        .distinct()
-    )
-
+def _sets(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """One row per row of `docs`: SETS; the columns from `alone` on are null unless the row may have a partner.
 
-def link_components(sets: DataFrame, percent: int) -> DataFrame:
-    """`(node, component)` of the documents of `sets` (from `_candidates`) that have a link.
+    `n` is the size of the set of n-grams and `key` a hash of it. `tokens` are the n-grams that other texts
+    have too, rare first; the `alone` others would come before them. A text with fewer of them than
+    it needs in common with a similar one has no partner. `prefix` is how many of `tokens` lie in
+    the prefix, `last` the level of the last of these, and `cells` counts `tokens` by hash for the suffix filter.
 
-    Each prefix n-gram has a list of documents. In a round, the most central document of a list is
-    compared with the others in it that are not yet in its component and then leaves the list, so a
-    round makes at most one pair per entry: a list of thousands of near copies falls into one component
-    after a few rounds, without all its pairs. Once the pairs of different components left are at
-    most ROUND_PAIRS times the entries, all of them are verified. So every pair that shares a prefix
-    n-gram is either verified, once, or inside one component already.
+    All n-grams of all texts are counted: groups of texts send theirs to the shards of the hash space, where
+    they are summed, and get back how common each is. An n-gram is one entry of a group however many of its texts have
+    it, so none is hot, and equal sets of a group count once. Groups meet their answers by a shuffle.
     """
-    entries = sets.where("prefix > 0").select(
-        "doc_id", "n", "weight", "alone", F.posexplode(F.slice("tokens", F.lit(1), F.col("prefix"))).alias("_p", "token")
-    ).select("token", "doc_id", "n", "weight", (F.col("_p") + F.col("alone")).alias("at"))
-    lists = entries.groupBy("token").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(F.col("token").alias("_t"))
-    entries = written(entries.join(lists, F.col("token") == F.col("_t"), "left_semi"), "prefixes")
-    total = entries.count()
-    tested = links = found = None
-    while total:
-        if found is None:
-            placed = entries.withColumn("component", F.col("doc_id"))
-        else:
-            labels = found.select(F.col("node").alias("doc_id"), F.col("component").alias("_c"), F.lit(1).alias("_n"))
-            placed = attach(entries, labels, "doc_id", "_n", F.col("token")).withColumn("component", F.coalesce("_c", "doc_id")).drop("_c", "_n")
-        per = placed.groupBy("token", "component").agg(F.count(F.lit(1)).alias("k"))
-        lists = narrowed(
-            per.groupBy("token").agg(F.sum("k").alias("rows"), F.sum(F.col("k") * F.col("k")).alias("_same"), F.count(F.lit(1)).alias("_c")).where("_c > 1"),
-            total,
-            "lists",
-        )
-        left = lists.agg(F.coalesce(F.sum((F.col("rows") * F.col("rows") - F.col("_same")) / 2), F.lit(0))).first()[0]
-        if not left:
-            break
-        last = left <= ROUND_PAIRS * total
-        open_ = placed.join(lists.select(F.col("token").alias("_t")), F.col("token") == F.col("_t"), "left_semi")
-        if last:
-            pairs = _pairs(open_, open_, percent).where("a < b")
-        else:
-            leader = F.max(F.struct(F.col("weight"), (-F.col("doc_id")).alias("m"), F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("at").alias("jb"), F.col("component").alias("cb")))
-            leaders = narrowed(open_.groupBy("token").agg(leader.alias("l"), F.count(F.lit(1)).alias("rows")).select("token", "rows", "l.b", "l.nb", "l.jb", "l.cb"), total, "leaders")
-            with_leader = attach(open_, leaders, "token", "rows", F.col("doc_id")).where("b is not null and cb <> component")
-            shorter, longer = F.least("n", "nb"), F.greatest("n", "nb")
-            most = F.least("at", "jb") + 1 + F.least(F.col("n") - F.col("at") - 1, F.col("nb") - F.col("jb") - 1)
-            near = with_leader.where((shorter * 100 >= longer * percent) & (most * (100 + percent) >= (F.col("n") + F.col("nb")) * percent))
-            pairs = near.select(F.col("b").alias("a"), F.col("doc_id").alias("b")).distinct()
-        known = F.struct(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
-        pairs = pairs.withColumn("_k", known).dropDuplicates(["_k"])
-        if tested is not None:
-            pairs = pairs.join(tested.select(F.struct(F.col("x"), F.col("y")).alias("_k")), "_k", "left_anti")
-        verified = narrowed(_verified(narrowed(pairs.select("a", "b"), total, "pairs"), sets, percent), total, "verified")
-        new = verified.where("linked").select("a", "b")
-        links = new if links is None else links.unionByName(new)
-        seen = verified.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
-        tested = seen if tested is None else tested.unionByName(seen)
-        found = components(links)
-        if last:
-            break
-        gone = leaders.select(F.col("token").alias("_t"), F.col("b").alias("_b"))
-        entries = narrowed(entries.join(gone, (F.col("token") == F.col("_t")) & (F.col("doc_id") == F.col("_b")), "left_anti"), total, "prefixes")
-    if found is None:
-        return sets.sparkSession.createDataFrame([], "node bigint, component bigint")
-    return found
-
-
-def _overlaps(x: list[np.ndarray], y: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    keys = words_in(docs)
+    bits = shard_bits(keys)
+    key_bits = min(TOKEN_BITS, ASKED_BITS + bits)
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("content"), "text")
+    groups = grouped_texts(rows, group_bytes(keys))
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for grp, _, texts in of_groups(batches):
+            tokens, sizes = shingles(texts, width, TOKEN_BITS)
+            seen: set[bytes] = set()
+            first = np.array([key is not None and not (key in seen or seen.add(key)) for key in _set_keys(tokens, sizes)], bool)
+            asked, counts = np.unique(_asked(tokens, bits), return_counts=True)
+            counts = np.zeros(len(asked), np.int64)
+            np.add.at(counts, np.searchsorted(asked, _asked(tokens[np.repeat(first, sizes)], bits)), 1)
+            edges = cuts(asked, bits, key_bits)
+            out = []
+            for shard, (a, b) in enumerate(zip(edges, edges[1:])):
+                if a < b:
+                    many = np.flatnonzero(counts[a:b] > 1)
+                    out.append((shard, grp, packed(asked[a:b], ASKED_BITS // 8), many.astype(np.uint32).tobytes(), counts[a:b][many].astype(np.uint32).tobytes()))
+            if out:
+                types = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), types)], names=["shard", "grp", "keys", "many", "times"])
+
+    def answer(block: pd.DataFrame) -> pd.DataFrame:
+        keys = [unpacked(x, ASKED_BITS // 8) for x in block["keys"]]
+        counts = [np.ones(len(x), np.int64) for x in keys]
+        for own, many, times in zip(counts, block["many"], block["times"]):
+            own[np.frombuffer(many, np.uint32)] = np.frombuffer(times, np.uint32)
+        _, sums, place = summed(keys, counts)
+        ends = np.cumsum([len(x) for x in keys])
+        levels = _levels(sums)[place]
+        return pd.DataFrame({"grp": block["grp"], "shard": block["shard"], "levels": [x.tobytes() for x in np.split(levels, ends[:-1])]})
+
+    def settle(group: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        meta, texts = ungrouped(group["meta"].iloc[0], group["texts"].iloc[0])
+        tokens, sizes = shingles(texts, width, TOKEN_BITS)
+        _, place = np.unique(_asked(tokens, bits), return_inverse=True)
+        levels = np.frombuffer(b"".join(answers.sort_values("shard")["levels"]), np.uint8)[place]
+        rows = np.repeat(np.arange(len(sizes)), sizes)
+        need = least_overlap(sizes, percent)
+        common = np.bincount(rows, levels > 0, len(sizes)).astype(np.int64)
+        some = np.flatnonzero((sizes > 0) & (common >= need))
+        out = pd.DataFrame({"doc_id": ids_of(meta, "doc_id"), "content": ids_of(meta, "content"), "n": sizes, "key": _set_keys(tokens, sizes)})
+        kept = (levels > 0) & np.isin(rows, some)
+        order = np.lexsort((tokens[kept], levels[kept], rows[kept]))
+        ordered, level = tokens[kept][order].view(np.int64), levels[kept][order]
+        ends = np.cumsum(common[some])
+        alone = (sizes - common)[some]
+        prefix = (sizes - need + 1)[some] - alone
+        lists = np.split(ordered, ends[:-1]) if len(some) else []
+        # A set's last prefix n-gram, by its place among all.
+        last = level[ends - common[some] + prefix - 1] if len(some) else level
+        columns = {
+            "alone": alone, "prefix": prefix, "last": last,
+            "tokens": lists, "cells": [np.bincount(x & (CELLS - 1), minlength=CELLS) for x in lists],
+        }
+        for name, values in columns.items():
+            column = np.full(len(out), None, object)
+            for k, value in zip(some.tolist(), values):
+                column[k] = value
+            out[name] = column
+        return out
+
+    asked = groups.mapInArrow(ask, "shard int, grp bigint, keys binary, many binary, times binary")
+    answers = asked.groupBy("shard").applyInPandas(answer, "grp bigint, shard int, levels binary")
+    return groups.groupBy("grp").cogroup(answers.groupBy("grp")).applyInPandas(settle, SETS)
+
+
+def _overlaps(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
     """Common n-grams of each of `x` with each of `y`."""
     out = np.zeros((len(x), len(y)), np.float32)
     shared = np.intersect1d(np.concatenate(x), np.concatenate(y))
@@ -247,82 +148,169 @@ def _overlaps(x: list[np.ndarray], y: list[np.ndarray], columns: int = 4096) ->
 
     if len(shared):
         (ax, rx), (ay, ry) = places(x), places(y)
-        for start in range(0, len(shared), columns):
+        for start in range(0, len(shared), COLUMNS):
             parts = []
             for at, row, n in ((ax, rx, len(x)), (ay, ry, len(y))):
-                some = slice(*np.searchsorted(at, [start, start + columns]))
-                part = np.zeros((n, min(columns, len(shared) - start)), np.float32)
+                some = slice(*np.searchsorted(at, [start, start + COLUMNS]))
+                part = np.zeros((n, min(COLUMNS, len(shared) - start)), np.float32)
                 part[row[some], at[some] - start] = 1
                 parts.append(part)
             out += parts[0] @ parts[1].T
     return out
 
 
-def _links(sets: DataFrame, found: DataFrame, percent: int, *, pairs: bool) -> DataFrame:
-    """All links between the documents of `sets`: `(a, b)` with a < b, or `(node, n_links)`.
+class _Block:
+    """The sets of one block, as arrays."""
 
-    Both ends of a link are in one component of `found`. A component is dealt into chunks, and a task
-    gets two chunks, so none holds more than those of a large component; every pair of its documents is
-    verified exactly once. The work is the square of the distinct texts in a component.
+    def __init__(self, rows: pd.DataFrame) -> None:
+        self.node, self.n = rows["node"].to_numpy(np.int64), rows["n"].to_numpy(np.int64)
+        self.tokens = [np.asarray(t, np.int64) for t in rows["tokens"]]
+        self.prefix = [t[:p] for t, p in zip(self.tokens, rows["prefix"])]
+        # What lies behind the prefix, and the place of its last n-gram in the order of all: rare first, then by hash.
+        self.behind = self.n - rows["alone"].to_numpy(np.int64) - rows["prefix"].to_numpy(np.int64)
+        self.last = rows["last"].to_numpy(np.int64), np.array([p[-1] for p in self.prefix], np.int64)
+        self.cells = np.stack([np.asarray(c, np.int64) for c in rows["cells"]])
+
+
+def _links(a: _Block, b: _Block, percent: int, same: bool) -> np.ndarray:
+    """Which sets of `a` link with which of `b`; of a block with itself each pair once.
+
+    Pairs that share a prefix n-gram are filtered by length, by position and by suffix, and those
+    left are verified. Behind the prefix that ends first in the order of all n-grams, a pair has at most
+    as many n-grams in common as lie there, so that the common ones of the prefixes and these bound all.
     """
-    members = written(sets.join(found, F.col("doc_id") == F.col("node")).select("component", "doc_id", "n", "tokens"), "members")
-    chunks = F.ceil(F.greatest(F.count(F.lit(1)) / CHUNK_ROWS, F.sum(F.size("tokens")) / CHUNK_TOKENS)).cast("int")
-    sizes = written(members.groupBy("component").agg(F.count(F.lit(1)).alias("_n"), chunks.alias("_k")), "sizes")
-    few = max(1, members.count() // CHUNK_ROWS)
-    dealt = attach(members, sizes, "component", "_n", F.col("doc_id")).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("_k")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
-    i, j = F.least("own", "other"), F.greatest("own", "other")
-    # Small components share a task; what meets in one by chance is told apart there.
-    cell = F.when(F.col("_k") == 1, F.pmod(F.xxhash64("component"), F.lit(few))).otherwise(F.xxhash64("component", i, j))
-    schema = "a bigint, b bigint" if pairs else "node bigint, n_links bigint"
-    names = [column.split()[0] for column in schema.split(", ")]
-
-    def run(block: pd.DataFrame) -> pd.DataFrame:
-        out = [np.zeros((2, 0), np.int64)]
-        for (_, low, high), part in block.groupby(["component", "i", "j"], sort=False):
-            sides = []
-            for own in (low, high):
-                side = part[part["own"] == own]
-                sides.append((side["doc_id"].to_numpy(), side["n"].to_numpy(np.int64), list(side["tokens"])))
-            (ids, n, tokens), (ids2, n2, tokens2) = sides
-            counts, counts2 = np.zeros(len(ids), np.int64), np.zeros(len(ids2), np.int64)
-            for s in range(0, len(ids), TILE):
-                for t in range(s if low == high else 0, len(ids2), TILE):
-                    x, y = slice(s, s + TILE), slice(t, t + TILE)
-                    linked = _overlaps(tokens[x], tokens2[y]) * (100 + percent) >= (n[x, None] + n2[None, y]) * percent
-                    if low == high and s == t:
-                        linked = np.triu(linked, 1)
-                    if pairs:
-                        u, v = np.nonzero(linked)
-                        u, v = ids[x][u], ids2[y][v]
-                        out.append(np.array([np.minimum(u, v), np.maximum(u, v)]))
-                    else:
-                        counts[x] += linked.sum(1)
-                        counts2[y] += linked.sum(0)
-            if not pairs:
-                out += [np.array([ids, counts]), np.array([ids2, counts2])]
+    need = (a.n[:, None] + b.n[None, :]) * percent  # of 100 + percent times the common ones
+    common = _overlaps(a.prefix, b.prefix).astype(np.int64)
+    (level, token), (other_level, other_token) = a.last, b.last
+    first = (level[:, None] < other_level) | (level[:, None] == other_level) & (token[:, None] <= other_token)
+    behind = np.where(first, a.behind[:, None], b.behind[None, :])
+    near = (common > 0) & (np.minimum(a.n[:, None], b.n) * 100 >= np.maximum(a.n[:, None], b.n) * percent)
+    near &= (common + behind) * (100 + percent) >= need
+    if same:
+        near = np.triu(near, 1)
+    x, y = np.nonzero(near)
+    most = np.minimum(a.cells[x], b.cells[y]).sum(1)
+    near[x, y] = most * (100 + percent) >= need[x, y]
+    x, y = np.nonzero(near)
+    if len(x):
+        rows, columns = np.unique(x), np.unique(y)
+        overlap = _overlaps([a.tokens[k] for k in rows], [b.tokens[k] for k in columns])
+        near[x, y] = overlap[np.searchsorted(rows, x), np.searchsorted(columns, y)] * (100 + percent) >= need[x, y]
+    return near
+
+
+def _lowest(nodes: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The smallest node that each of `nodes` reaches by the links between places `x` and `y`."""
+    low = nodes.copy()
+    while True:
+        before = low.copy()
+        np.minimum.at(low, x, before[y])
+        np.minimum.at(low, y, before[x])
+        if (low == before).all():
+            return low
+
+
+def _candidates(sets: DataFrame) -> DataFrame:
+    """`(block, node, ...)`: the candidate sets in blocks, and beside them which pairs of blocks have to be compared.
+
+    Each prefix n-gram has a list of sets. The home of a set is the longest list it is on, the
+    first in order of about equally long ones, so sets that are similar share a home as a rule. A home is dealt into
+    blocks of about BLOCK_ROWS sets.
+    """
+    entries = sets.select("node", "n", F.explode(F.slice("tokens", F.lit(1), F.col("prefix"))).alias("token"))
+    lists = written(entries.groupBy("token").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"), "lists")
+    listed = attach(entries, lists.withColumn("length", F.col("_n")), "token", "_n", F.col("node")).where("length is not null").drop("_n")
+    return written(listed, "entries")
+
+
+def _blocks(sets: DataFrame, entries: DataFrame) -> DataFrame:
+    """`(node, block)`: each set that is on some list in a block of its home."""
+    home = F.min(F.struct(-F.floor(4 * F.log2("length")), "token"))
+    homes = written(entries.groupBy("node").agg(home["token"].alias("home"), F.first("n").alias("n")), "homes")
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_ROWS, F.sum("n") / BLOCK_TOKENS)).cast("int")
+    sizes = written(homes.groupBy("home").agg(F.count(F.lit(1)).alias("_n"), blocks.alias("_k")), "homes")
+    dealt = attach(homes, sizes, "home", "_n", F.col("node"))
+    return written(dealt.select("node", F.xxhash64("home", F.pmod(F.xxhash64("node"), F.col("_k"))).alias("block")), "blocks")
+
+
+def _pairs(entries: DataFrame, blocks: DataFrame, percent: int) -> DataFrame:
+    """`(a, b)`: pairs of blocks, a block also with itself, that hold two sets on one list whose sizes allow a link."""
+    placed = attach(entries.select("node", "n", "token"), blocks.withColumn("_n", F.lit(1)), "node", "_n", F.col("token"))
+    here = placed.groupBy("token", "block").agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("low"), F.max("n").alias("high"))
+    here = written(here, "lists")
+    there = here.select("token", *[F.col(c).alias(f"_{c}") for c in ("block", "low", "high")])
+    both = here.join(there, "token").where("block < _block or (block = _block and k > 1)")
+    fit = both.where((F.col("high") * 100 >= F.col("_low") * percent) & (F.col("_high") * 100 >= F.col("low") * percent))
+    return written(fit.select(F.col("block").alias("a"), F.col("_block").alias("b")).distinct(), "pairs")
+
+
+def _verified(sets: DataFrame, percent: int, schema: str) -> DataFrame:
+    """What the comparison of all pairs of blocks finds: `node, low, n_links`, or all links `a, b`, by `schema`.
+
+    A set is in one block and a pair of blocks in one task, so a pair of sets is verified once at
+    most. `low` is the smallest node that a set reaches by the links of its pair of blocks.
+    """
+    entries = _candidates(sets)
+    blocks = _blocks(sets, entries)
+    pairs = _pairs(entries, blocks, percent)
+    ends = F.array_distinct(F.array("a", "b"))
+    of_block = written(pairs.select(F.explode(ends).alias("block"), "a", "b").groupBy("block").agg(F.collect_list(F.struct("a", "b")).alias("pairs"), F.count(F.lit(1)).alias("_n")), "pairs")
+    placed = attach(sets, blocks.withColumn("_n", F.lit(1)), "node", "_n", F.col("node")).where("block is not null").drop("_n")
+    meeting = attach(placed, of_block, "block", "_n", F.col("node")).where("pairs is not null")
+    dealt = meeting.withColumn("pair", F.explode("pairs")).select("node", "n", "alone", "prefix", "last", "tokens", "cells", "block", "pair.a", "pair.b")
+    size = of_block.join(blocks, "block").join(sets.select("node", F.size("tokens").alias("t")), "node").agg(
+        F.coalesce(F.sum("_n"), F.lit(0)), F.coalesce(F.sum(F.col("_n") * F.col("t")), F.lit(0))
+    ).first()
+    tasks = max(1, size[0] // TASK_ROWS, size[1] // TASK_TOKENS)
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        out = [np.zeros((len(names), 0), np.int64)]
+        for (low, high), part in rows.groupby(["a", "b"], sort=False):
+            a = _Block(part[part["block"] == low])
+            b = a if low == high else _Block(part[part["block"] == high])
+            linked = _links(a, b, percent, low == high)
+            x, y = np.nonzero(linked)
+            if names[0] == "a":
+                out.append(np.array([np.minimum(a.node[x], b.node[y]), np.maximum(a.node[x], b.node[y])]))
+                continue
+            if low == high:
+                nodes, y, counts = a.node, y, linked.sum(1) + linked.sum(0)
+            else:
+                nodes, y, counts = np.concatenate([a.node, b.node]), y + len(a.node), np.concatenate([linked.sum(1), linked.sum(0)])
+            some = np.flatnonzero(counts)
+            out.append(np.array([nodes[some], _lowest(nodes, x, y)[some], counts[some]]))
         return pd.DataFrame(dict(zip(names, np.concatenate(out, axis=1))))
 
-    rows = dealt.select(cell.alias("cell"), "component", i.alias("i"), j.alias("j"), "own", "doc_id", "n", "tokens")
-    links = rows.groupBy("cell").applyInPandas(run, schema)
-    return links if pairs else written(links.groupBy("node").agg(F.sum("n_links").alias("n_links")), "links")
+    cell = F.pmod(F.xxhash64("a", "b"), F.lit(tasks)).alias("cell")
+    return written(dealt.groupBy(cell).applyInPandas(run, schema), "verified")
+
+
+LINKED = "node bigint, low bigint, n_links bigint"
 
 
 def _prepared(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The rows with the keys of their sets, the classes of equal sets, and their representatives that may link."""
-    members = written(_sets(docs, width), "sets")
-    classes = written(
-        members.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("_n")), "classes"
-    )
-    total = members.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    common = docs.sparkSession.sparkContext.broadcast(frequencies(docs.select("text"), total, width))
-    reps = classes.where("rep is not null").select(F.col("rep").alias("_r"))
-    sets = _candidates(docs, common, width, percent)
-    return members, classes, written(sets.join(reps, F.col("doc_id") == F.col("_r"), "left_semi").dropDuplicates(["doc_id"]), "candidates")
+    """The rows with their sets, the classes of equal sets with a number `node` each, and the sets that may link, one per class."""
+    rows = written(_sets(docs, width, percent), "sets")
+    classes = rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("_n"))
+    classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    some = rows.where("prefix > 0").select("key", "n", "alone", "prefix", "last", "tokens", "cells").dropDuplicates(["key"])
+    return rows.select("doc_id", "content", "n", "key"), classes, written(some.join(classes.select("key", "node"), "key").drop("key"), "candidates")
+
+
+def _classes(classes: DataFrame, verified: DataFrame) -> DataFrame:
+    """`classes` with the smallest id that a class reaches by links, and the number of its links."""
+    found = components(verified.where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")))
+    per_node = verified.groupBy("node").agg(F.sum("n_links").alias("n_links"))
+    named = classes.join(found, "node", "left").join(per_node, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = written(named, "classes")
+    least = written(named.groupBy("component").agg(F.min("rep").alias("component_id"), F.count(F.lit(1)).alias("_m"), F.sum("_n").alias("rows")), "components")
+    joined = attach(named, least, "component", "_m", F.col("node"))
+    return joined.select("key", "_n", "component", "rows", "component_id", F.col("rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
 
 
 def _by_row(members: DataFrame, named: DataFrame) -> DataFrame:
-    """The rows of `members` with the columns of their class in `named(key, _n, ...)`."""
+    """The rows of `members` with the columns of their class in `named(key, _n, ...)`; rows without words have none."""
     keyed = members.withColumn("_key", F.coalesce("key", F.concat(F.lit(b"-"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))))
     return join_by_key(keyed, written(named, "named").withColumnRenamed("key", "_key"), "_key", "_n", F.col("doc_id"))
 
@@ -336,43 +324,67 @@ def similar_documents(docs: DataFrame, *, width: int = WORDS, percent: int = PER
 
     Two documents link when 100 * common >= percent * union for their sets of n-grams of `width`
     words; `component_id` is the smallest id reachable by links. Documents with equal sets are one
-    class, whose smallest id stands for it and is `class_id`; `n_links` says how many other classes
-    link with it (`similar_pairs` gives them). Counts of all n-grams order them rare first; classes
-    share prefix n-grams when similar, and `link_components` verifies those.
+    class, and its smallest id is `class_id`; `n_links` says how many other classes link with it
+    (`similar_pairs` gives them).
+
+    Exact counts of all n-grams order them rare first. Classes that share a prefix n-gram are
+    compared in pairs of bounded blocks, each pair of blocks in one task that filters by length, position
+    and suffix and verifies what is left, each pair of classes once; it returns numbers of links and
+    what hangs together, not the pairs. So neither a list that a third of all documents are on nor their links
+    come into one task, and the passes over the data are as many whatever the lists.
 
     A null or empty text, or one of white space, has no n-grams and links with nothing. A null id
-    gets the component of a class it shares with an id, else null. Repeated rows are rows of one
-    class; different texts are taken to have different ids. Other columns are ignored. Each pass reads the whole texts where they lie; only hashes
-    are shuffled.
+    gets the component of a class it shares with an id or that links with one, else null. Repeated rows, and several texts
+    under one id, keep a row each, with the class of its own text. Other columns are ignored.
+    Hashes of 56 bits stand for n-grams: that two of a text of 20,000 words share one has a chance of 3 in 10^9.
     """
     members, classes, sets = _prepared(docs, width, percent)
-    found = link_components(sets, percent)
-    links = _links(sets, found, percent, pairs=False)
-    joined = classes.join(found, F.col("rep") == F.col("node"), "left").drop("node").join(links, F.col("rep") == F.col("node"), "left")
-    named = joined.select("key", "_n", F.coalesce("component", "rep").alias("component_id"), F.col("rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
-    rows = _by_row(members, named)
-    return rows.select("doc_id", F.col("n").alias("n_shingles"), _or_own_id("component_id"), _or_own_id("class_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
+    rows = _by_row(members, _classes(classes, _verified(sets, percent, LINKED)))
+    return rows.select(
+        "doc_id", F.col("n").alias("n_shingles"), _or_own_id("component_id"), _or_own_id("class_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links")
+    )
 
 
-def similar_components(docs: DataFrame, *, width: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """`doc_id, n_shingles, component_id` as in `similar_documents`, without finding all links."""
-    members, classes, sets = _prepared(docs, width, percent)
-    found = link_components(sets, percent)
-    named = classes.join(found, F.col("rep") == F.col("node"), "left").select("key", "_n", F.coalesce("component", "rep").alias("component_id"))
-    return _by_row(members, named).select("doc_id", F.col("n").alias("n_shingles"), _or_own_id("component_id"))
+def similar_pairs(docs: DataFrame, *, width: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """All links `(a, b)`, a < b, between the classes of `similar_documents`, by the smallest ids of both.
 
+    Of a class without any id the id is null, and comes first.
+    """
+    _, classes, sets = _prepared(docs, width, percent)
+    links = _verified(sets, percent, "a bigint, b bigint")
+    a, b = (classes.select(F.col("node").alias(side), F.col("rep").alias(f"_{side}")) for side in "ab")
+    named = links.join(a, "a").join(b, "b").withColumn("_swap", F.coalesce(F.col("_a") > F.col("_b"), F.col("_b").isNull()))
+    return named.select(F.when(F.col("_swap"), F.col("_b")).otherwise(F.col("_a")).alias("a"), F.when(F.col("_swap"), F.col("_a")).otherwise(F.col("_b")).alias("b"))
 
-def similar_pairs(docs: DataFrame, *, width: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """All links `(a, b)`, a < b, between the classes of `similar_documents`, by the smallest ids of both."""
-    _, _, sets = _prepared(docs, width, percent)
-    return _links(sets, link_components(sets, percent), percent, pairs=True)
+
+def drop_similar(docs: DataFrame, *, width: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """`docs` with one row of each component: the one with the smallest id, and of several texts under it the one with the smallest hash.
+
+    Rows are told apart by id and text, so another text under the same id is judged by itself; of rows
+    that repeat both, one stays. Rows with an id come before rows without. A row without words links with
+    nothing and stays. All columns are kept as they are.
+    """
+    members, classes, sets = _prepared(docs.select("doc_id", "text"), width, percent)
+    named = _classes(classes, _verified(sets, percent, LINKED)).select("key", "_n", "component", "rows")
+    placed = written(_by_row(members, named).where("rows > 1").select("doc_id", "content", "component"), "placed")
+    first = placed.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "content")).alias("f"), F.count(F.lit(1)).alias("_m"))
+    judged = attach(placed, written(first, "first"), "component", "_m", F.col("content"))
+    same = F.col("doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("content") == F.col("f.content"))
+    verdict = judged.groupBy("doc_id", "content").agg(F.max(same).alias("stays"), F.count(F.lit(1)).alias("times"))
+    verdict = written(verdict.where("not stays or times > 1"), "verdicts")
+    return without(docs, verdict)
 
 
-def drop_similar(docs: DataFrame) -> DataFrame:
-    """`docs` with one document of each component: the one with the smallest id.
+def without(docs: DataFrame, verdict: DataFrame) -> DataFrame:
+    """`docs` without the rows of `verdict(doc_id, content, stays, times)` that do not stay, and with one of each that does.
 
-    Rows without an id stay.
+    `content` is the hash of the row's text. Only rows that stay and repeat are grouped, after a partial aggregation.
     """
-    rows = similar_components(docs.select("doc_id", "text"))
-    dropped = rows.where("doc_id <> component_id").select(F.col("doc_id").alias("_d")).distinct()
-    return docs.join(dropped, F.col("doc_id") == F.col("_d"), "left_anti")
+    names = docs.columns
+    marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"))
+    text, doc_id = F.col("_row.text"), F.col("_row.doc_id").cast("bigint")
+    rows = verdict.select(F.col("doc_id").alias("_d"), F.col("content").alias("_c"), "stays")
+    joined = marked.withColumn("_h", F.xxhash64(text)).join(rows, doc_id.eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_c")), "left")
+    plain = joined.where("stays is null").select("_row.*")
+    once = joined.where("stays").groupBy("_d", "_h").agg(F.first("_row").alias("_row")).select("_row.*")
+    return plain.unionByName(once) if verdict.where("stays").limit(1).count() else plain

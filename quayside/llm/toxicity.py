@@ -84,19 +84,33 @@ def _row(text: str) -> tuple[np.ndarray, np.ndarray]:
     return unique.astype(np.int32), np.bincount(back, share, len(unique)).astype(np.float32)
 
 
-def _rows(texts: list[str], least: float) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
-    """The rows of all texts, with the buckets in at least `least` documents only, and which buckets
-    those are. Rows are made twice, so that the rare buckets are never held."""
-    docs = np.zeros(1 << BUCKET_BITS, np.int64)
-    for text in texts:
-        docs[_row(text)[0]] += 1
-    known = docs >= least
-    rows = []
-    for text in texts:
-        cols, weights = _row(text)
-        keep = known[cols]
-        rows.append((cols[keep], weights[keep] * np.float32(GAIN)))
-    return rows, known
+class _Rows:
+    """The rows of all texts one after the other in two arrays, with the buckets in at least `least` documents only.
+
+    Rows are made twice, so that the rare buckets are never held.
+    """
+
+    def __init__(self, texts: list[str], least: float) -> None:
+        docs, most = np.zeros(1 << BUCKET_BITS, np.int64), 0
+        for text in texts:
+            cols = _row(text)[0]
+            docs[cols] += 1
+            most += len(cols)
+        self.known = docs >= least
+        # Pages that are never written take no memory.
+        self.cols, self.weights, self.starts = np.empty(most, np.int32), np.empty(most, np.float32), [0]
+        for text in texts:
+            cols, weights = _row(text)
+            keep = self.known[cols]
+            at, end = self.starts[-1], self.starts[-1] + int(keep.sum())
+            self.cols[at:end], self.weights[at:end] = cols[keep], weights[keep] * np.float32(GAIN)
+            self.starts.append(end)
+
+    def of(self, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Number in `docs`, bucket and weight of each entry of these documents."""
+        parts = [slice(self.starts[d], self.starts[d + 1]) for d in docs]
+        row = np.repeat(np.arange(len(docs)), [p.stop - p.start for p in parts])
+        return row, np.concatenate([self.cols[p] for p in parts]), np.concatenate([self.weights[p] for p in parts])
 
 
 class Model:
@@ -128,9 +142,9 @@ def train(texts: list[str], labels: list[int], seed: int = 0) -> Model:
     size = 1 << BUCKET_BITS
     if len(set(labels)) < 2:
         return Model(np.zeros(size, np.float32), 60.0 if labels and labels[0] else -60.0)
-    rows, known = _rows(texts, max(MIN_DOCS, MIN_DOC_SHARE * len(y)))
+    rows = _Rows(texts, max(MIN_DOCS, MIN_DOC_SHARE * len(y)))
     rng = np.random.default_rng(seed)
-    emb = rng.normal(0, 0.1, (size, DIMENSIONS)).astype(np.float32) * known[:, None]
+    emb = rng.normal(0, 0.1, (size, DIMENSIONS)).astype(np.float32) * rows.known[:, None]
     out = rng.normal(0, 0.5, (DIMENSIONS, 2)).astype(np.float32)
     bias = np.zeros(2, np.float32)
     emb_sq, out_sq, bias_sq = np.full((size, DIMENSIONS), 1e-6, np.float32), np.full_like(out, 1e-2), np.full_like(bias, 1e-2)
@@ -140,10 +154,7 @@ def train(texts: list[str], labels: list[int], seed: int = 0) -> Model:
         order = rng.permutation(len(y))
         for k in range(0, len(y), BATCH):
             docs = order[k : k + BATCH]
-            lengths = [len(rows[d][0]) for d in docs]
-            row = np.repeat(np.arange(len(docs)), lengths)
-            c = np.concatenate([rows[d][0] for d in docs])
-            w = np.concatenate([rows[d][1] for d in docs])
+            row, c, w = rows.of(docs)
             mean = np.stack([np.bincount(row, w * emb[c, d], len(docs)) for d in range(DIMENSIONS)], 1).astype(np.float32)
             logits = mean @ out + bias
             p = np.exp(logits - logits.max(1, keepdims=True))
@@ -166,23 +177,23 @@ def remainder(doc_id: Column, by: int) -> Column:
     return F.crc32(doc_id.cast("string")) % by
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, *, max_train: tuple[int, int] = MAX_TRAIN, max_chars: int = MAX_TRAIN_CHARS) -> Model:
     """Train on a bounded sample of the labelled rows that are not held out.
 
-    At most MAX_TRAIN ids of each class, those with the smallest hashes of their ids, and
-    of these documents those of at most MAX_TRAIN_CHARS characters; so what comes to the driver is
+    At most `max_train` ids of each class (clean, toxic), those with the smallest hashes of their ids, and
+    of these documents those of at most `max_chars` characters; so what comes to the driver is
     bounded whatever the tables hold. Only ids are sorted, and only the sample's texts are gathered.
     """
     usable = labels.where(remainder(F.col("doc_id"), 3) != 1).where("toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     ids = None
     for label in (0, 1):
-        some = usable.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_TRAIN[label])
+        some = usable.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train[label])
         ids = some if ids is None else ids.unionByName(some)
-    chosen = ids.select(F.col("doc_id").alias("_id"), "toxic")  # at most sum(MAX_TRAIN) rows
+    chosen = ids.select(F.col("doc_id").alias("_id"), "toxic")  # at most sum(max_train) rows
     sample = (
         docs.select("doc_id", "text")
         .join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
-        .where(F.length("text") <= MAX_TRAIN_CHARS)
+        .where(F.length("text") <= max_chars)
         .groupBy("doc_id", "toxic")
         .agg(F.min("text").alias("text"))
         .collect()

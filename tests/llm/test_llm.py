@@ -92,6 +92,16 @@ def test_encoder_equals_the_tokenizer(monkeypatch):
             assert own.encoded(text) == np.array(judge.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
+def test_encoder_equals_the_tokenizer_on_documents(documents):
+    from tokenizers import Tokenizer
+
+    judge = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    judge.encode_special_tokens = True
+    own = packing.encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    for r in documents.collect():
+        assert own.encoded(r["text"] or "") == np.array(judge.encode(r["text"] or "", add_special_tokens=False).ids, "<u4").tobytes()
+
+
 def pack(docs):
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).collect()
 
@@ -171,6 +181,26 @@ def test_toxicity_learns_and_generalises(spark):
     assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.7) for r in out)
 
 
+def test_toxicity_of_given_documents(spark):
+    """Held out from training, by the given labels: better than chance by far, and the plain computation of a score."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    toxic = {r["doc_id"]: r["toxic"] for r in labels.collect()}
+    held = [(r["score"], toxic[r["doc_id"]], r["predicted"]) for r in toxicity.score(docs, labels).collect() if r["held_out"] and r["doc_id"] in toxic]
+    bad, good = [x for x in held if x[1]], [x for x in held if not x[1]]
+    auc = sum((x[0] > y[0]) + 0.5 * (x[0] == y[0]) for x in bad for y in good) / (len(bad) * len(good))
+    assert len(bad) >= 5 and auc > 0.7 and sum(x[2] for x in good) <= 0.05 * len(good)
+    model = toxicity.Model(np.random.default_rng(1).normal(size=1 << toxicity.BUCKET_BITS).astype(np.float32), 0.25)
+    for text in ("", "one", "Two words, é!", "x" * 50 + " word " * 300_000):
+        words = ["".join(w) for w in re.findall(r"[^\W_]+", text.lower())]
+        means = []
+        for word in dict.fromkeys(words):
+            grams = [model.values[b] for b in toxicity.subwords(word)[0]]
+            means.append((words.count(word), sum(map(float, grams)) / max(1, len(grams))))
+        logit = 0.25 + sum(n * m for n, m in means) / (len(words) + toxicity.PRIOR_WORDS)
+        assert model.score(text) == pytest.approx(1 / (1 + math.exp(-logit)), abs=1e-6)
+
+
 def test_toxicity_without_labels(spark, edge, empty):
     none = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
     assert {r["predicted"] for r in toxicity.score(edge, none).collect()} == {0}
@@ -227,10 +257,10 @@ def components_of(rows, width=5, percent=80):
     return {i: (len(s), find(i)) for i, s in sets}
 
 
-@pytest.mark.parametrize("budget", [4, 0])
-def test_ngram_join_equals_brute_force(spark, documents, monkeypatch, budget):
-    """Also with rounds alone (no budget for all pairs): variants that link to an original only, chains, shared passages."""
-    monkeypatch.setattr(ngram_join, "ROUND_PAIRS", budget)
+@pytest.mark.parametrize("block_rows", [256, 3])
+def test_ngram_join_equals_brute_force(spark, documents, monkeypatch, block_rows):
+    """Variants that link to an original only, chains, shared passages; in one block and in many."""
+    monkeypatch.setattr(ngram_join, "BLOCK_ROWS", block_rows)
     random.seed(7)
     word = lambda: "".join(random.choices("abcdefgh", k=4))
     first = [word() for _ in range(120)]
@@ -259,12 +289,48 @@ def test_ngram_join_edges(spark, edge, empty):
     assert rows == sorted([(1, 0, 1), (2, 0, 2), (3, 0, 3), (4, 1, 4), (4, 1, 4), (None, 1, 4), (5, 2, 5), (6, n6, 6), (7, n7, 6), (None, 0, None)], key=str)
     assert ngram_join.similar_documents(empty).count() == 0
     kept = ngram_join.drop_similar(edge)
-    assert kept.columns == edge.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "2", "3", "4", "4", "5", "6", "None", "None"]
+    assert kept.columns == edge.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "2", "3", "4", "5", "6", "None"]
+    assert ngram_join.drop_similar(empty).count() == 0 and ngram_join.similar_pairs(empty).count() == 0
+
+
+def test_ngram_join_tells_rows_apart(spark):
+    """Several texts under one id, ids that are null, full copies, and a component without any id."""
+    a, b = " ".join(f"a{k}" for k in range(60)), " ".join(f"b{k}" for k in range(60))
+    rows = [(1, a, "s"), (2, a + " x", "s"), (2, b, "s"), (3, b + " y", "s"), (3, b + " y", "s"), (None, a + " z", "s"), (9, "unlike all else here", "s"), (None, "p " * 9 + "q r s t u v w", "s"), (None, "p " * 9 + "q r s t u v w", "t")]
+    docs = docs_of(spark, rows).withColumns({"_row": F.lit(1), "_d": F.lit(2), "content": F.lit("c")})
+    found = sorted(((r["doc_id"], r["component_id"], r["n_links"]) for r in ngram_join.similar_documents(docs).collect()), key=str)
+    assert found == sorted([(1, 1, 2), (2, 1, 2), (2, 2, 1), (3, 2, 1), (3, 2, 1), (None, 1, 2), (9, 9, 0), (None, None, 0), (None, None, 0)], key=str)
+    kept = ngram_join.drop_similar(docs)
+    assert kept.columns == docs.columns
+    assert sorted(((r["doc_id"], r["text"], r["_row"], r["content"]) for r in kept.collect()), key=str) == sorted([(1, a, 1, "c"), (2, b, 1, "c"), (9, rows[6][1], 1, "c"), (None, rows[7][1], 1, "c")], key=str)
+
+
+def test_ngram_join_of_large_groups(spark):
+    """Many variants of one text that are all near the limit, and many texts that share passages and are not similar."""
+    random.seed(13)
+    word = lambda: "".join(random.choices("abcdefgh", k=5))
+    first, passages = [word() for _ in range(100)], [[word() for _ in range(40)] for _ in range(6)]
+    rows = []
+    for k in range(400):
+        copy = list(first)
+        for at in random.sample(range(100), random.choice([1, 1, 2])):
+            copy[at] = word()
+        rows.append((2 * k, " ".join(copy), "a"))
+        rows.append((2 * k + 1, " ".join(random.choice(passages) + random.choice(passages) + [word() for _ in range(15)]), "a"))
+    sets = {i: frozenset(zip(*(t.split()[k:] for k in range(5)))) for i, t, _ in rows}
+    ids = sorted(sets)
+    want = collections.Counter()
+    for n, x in enumerate(ids):
+        for y in ids[n + 1 :]:
+            if 100 * len(sets[x] & sets[y]) >= 80 * len(sets[x] | sets[y]):
+                want.update((x, y))
+    got = {r["doc_id"]: r["n_links"] for r in ngram_join.similar_documents(docs_of(spark, rows)).collect()}
+    assert got == {i: want[i] for i in ids} and sum(want.values()) > 10_000
 
 
 def test_ngram_join_finds_every_link(spark, monkeypatch):
     """Also those inside a component, with a chain, copies, a null id and large components in chunks."""
-    monkeypatch.setattr(ngram_join, "CHUNK_ROWS", 7, raising=False)
+    monkeypatch.setattr(ngram_join, "BLOCK_ROWS", 7)
     random.seed(11)
     word = lambda: "".join(random.choices("abcdefgh", k=4))
     first = [word() for _ in range(120)]
@@ -323,6 +389,11 @@ def test_mixing(spark, documents, edge, empty):
     again = collections.Counter(r["doc_id"] for r in mixing.mixed_documents(docs_of(spark, rows)).collect())
     assert again == {r["doc_id"]: r["copies"] for r in out if r["copies"]}
     assert mixing.mix(edge).count() == 10 and mixing.mix(empty).count() == 0
+    clash = edge.withColumns({c: F.lit(c) for c in ("_src", "_size", "_row", "_copies", "target")})
+    times = collections.Counter((r["doc_id"], r["copies"]) for r in mixing.mix(clash).collect())
+    mixed = mixing.mixed_documents(clash).collect()
+    assert mixing.mixed_documents(clash).columns == clash.columns and all((r["_h"], r["_src"], r["_size"]) == ("clash", "_src", "_size") for r in mixed)
+    assert len(mixed) == sum(copies * n for (_, copies), n in times.items()) and mixing.mixed_documents(empty).count() == 0
     for source in ("src0", "src1"):
         some = [r for r in mixing.mix(documents).collect() if r["source"] == source]
         assert abs(sum(r["taken"] for r in some) - some[0]["target"]) <= max(r["size"] for r in some)
@@ -385,7 +456,18 @@ def test_exact_dedup_edges(edge, empty):
     assert exact_dedup.exact_duplicates(empty).count() == 0
     kept = exact_dedup.drop_copies(edge)
     assert kept.columns == edge.columns
-    assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "3", "4", "4", "5", "6", "7", "None", "None"]
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "3", "4", "5", "6", "7"]
+    assert exact_dedup.drop_copies(empty).count() == 0
+
+
+@pytest.mark.parametrize("content_hash", [exact_dedup.hash128, lambda t: F.pmod(F.crc32(t), F.lit(2)).cast("string")])
+def test_drop_copies_by_row(spark, content_hash):
+    """A unique text stays under whatever id, one row of full copies does, and a null id gives way."""
+    rows = [(1, "aaa", "s"), (2, "aaa", "s"), (2, "unique text", "s"), (3, "r", "s"), (3, "r", "s"), (None, "aaa", "s"), (None, "n", "s"), (None, "n", "t"), (None, "m", "s")]
+    docs = docs_of(spark, rows).withColumns({c: F.lit(c) for c in ("_d", "_k", "_t", "_row", "keep_id", "group_size")})
+    kept = exact_dedup.drop_copies(docs, content_hash)
+    assert kept.columns == docs.columns and {r["_k"] for r in kept.collect()} == {"_k"}
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted([(1, "aaa"), (2, "unique text"), (3, "r"), (None, "n"), (None, "m")], key=str)
 
 
 # 9 HTML extraction
@@ -522,10 +604,26 @@ def test_pipeline(spark):
     assert {r["doc_id"]: r["count"] for r in ends} == dict(collections.Counter(r["doc_id"] for r in mixed.collect()))
 
 
+def test_pipeline_on_odd_tables(spark, edge, empty, monkeypatch, tmp_path):
+    """The whole pipeline over null, empty, long, repeated and clashing rows, and over no rows."""
+    (tmp_path / "sf").mkdir()
+    spark.createDataFrame([(5, 1, 0)], "doc_id bigint, quality int, toxic int").write.parquet(f"file://{tmp_path}/sf/labels.parquet")
+    for name, docs, ids in (("odd", edge.withColumns({c: F.lit(c) for c in ("_d", "_src", "_row")}), {1, 3, 4, 5, 6}), ("none", empty, set())):
+        docs.write.parquet(f"file://{tmp_path}/sf/{name}.parquet")
+        monkeypatch.setattr(corpus_pipeline, "table", lambda spark, sf_dir, table, name=name: spark.read.parquet(f"{sf_dir}/{name if table == 'documents' else table}.parquet"))
+        kept = spark.read.parquet(f"file://{tmp_path}/sf/{name}.parquet")
+        for _, stage in corpus_pipeline.STAGES[:3]:
+            kept = stage(spark, kept, f"file://{tmp_path}/sf")
+            assert kept.columns == docs.columns
+        assert {r["doc_id"] for r in kept.collect()} == ids
+        packed = corpus_pipeline.run(spark, f"file://{tmp_path}/sf")
+        assert {r["doc_id"] for r in packed.collect()} <= ids and "sequence_id" in packed.columns
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_query_matches_sql(spark, name):
     duck = duckdb.connect()
-    for table in ("documents", "pages", "conversations"):
+    for table in ("documents", "pages", "conversations", "embeddings", "benchmark"):
         duck.execute(f"create view {table} as select * from '{SF}/{table}.parquet'")
     cursor = duck.execute(queries.ORACLES[name])
     names = [c[0] for c in cursor.description]
