@@ -13,8 +13,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-GROUP_BYTES = 6_000_000
-LEAST_KEYS, MOST_KEYS = 2_000_000, 16_000_000
+GROUP_BYTES = 3_000_000
+LEAST_KEYS, MOST_KEYS = 1_000_000, 16_000_000
 KEYS_PER_ANSWER = 1000
 BYTES_PER_WORD = 6
 

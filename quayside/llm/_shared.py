@@ -1,13 +1,9 @@
-"""What several operators of this subpackage need: joins that stand hot keys, row numbers,
-connected components and distributed counts of 64-bit keys."""
+"""What several operators of this subpackage need: joins that stand hot keys, row numbers and connected components."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -126,97 +122,3 @@ def components(links: DataFrame, label: str = "component") -> DataFrame:
         seen = now
     lower = edges.select(F.col("b").alias("node")).distinct().withColumn("component", F.col("node"))
     return narrowed(edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(lower), 2 * seen[0], label)
-
-
-def mixed(keys: np.ndarray) -> np.ndarray:
-    """A bijective mix of 64-bit keys whose high bits depend on all bits."""
-    keys = keys.astype(np.uint64, copy=True)
-    with np.errstate(over="ignore"):
-        keys ^= keys >> np.uint64(30)
-        keys *= np.uint64(0xBF58476D1CE4E5B9)
-        keys ^= keys >> np.uint64(27)
-        keys *= np.uint64(0x94D049BB133111EB)
-        keys ^= keys >> np.uint64(31)
-    return keys
-
-
-KEPT_WORDS = 250_000
-KEPT_BYTES = 40
-
-
-class _WordHashes(dict):
-    """64-bit hashes of words, computed when first asked for; the first KEPT_WORDS short words are kept."""
-
-    def __missing__(self, word: bytes) -> int:
-        found = xxhash.xxh3_64_intdigest(word)
-        if len(self) < KEPT_WORDS and len(word) <= KEPT_BYTES:
-            self[word] = found
-        return found
-
-
-_word_hashes = _WordHashes()
-
-
-def word_hashes(text: bytes) -> np.ndarray:
-    """Hashes of the words of a text, A-Z in lower case. `bytes.split` cuts at just the six white-space bytes."""
-    words = text.lower().split()
-    return np.fromiter(map(_word_hashes.__getitem__, words), np.uint64, len(words))
-
-
-FLUSH_KEYS = 1_000_000
-
-
-def key_blocks(
-    texts: DataFrame,
-    keys_of: Callable[[bytes], np.ndarray],
-    shard_bits: int,
-) -> DataFrame:
-    """Counts of 64-bit keys before the shuffle: rows `(shard, hashes, counts)` of sorted blocks.
-
-    `texts` has the one column `text`. `keys_of` makes the keys of one text; the highest
-    `shard_bits` bits of a key are its shard. A task counts about FLUSH_KEYS keys at a time, so
-    a key that many texts share is one entry of a block, not one per text.
-    """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[np.ndarray] = []
-        n = 0
-
-        def flush() -> pd.DataFrame:
-            hashes, counts = np.unique(np.concatenate(held), return_counts=True)
-            counts = counts.astype(np.uint32)
-            ends = np.searchsorted(hashes, np.arange(1, 1 << shard_bits, dtype=np.uint64) << np.uint64(64 - shard_bits)) if shard_bits else []
-            edges = [0, *map(int, ends), len(hashes)]
-            rows = [(s, hashes[a:b].tobytes(), counts[a:b].tobytes()) for s, (a, b) in enumerate(zip(edges, edges[1:])) if a < b]
-            return pd.DataFrame(rows, columns=["shard", "hashes", "counts"])
-
-        for batch in batches:
-            for text in batch["text"]:
-                keys = keys_of(text.encode() if text else b"")
-                held.append(keys)
-                n += len(keys)
-                if n >= FLUSH_KEYS:
-                    yield flush()
-                    held, n = [], 0
-        if n:
-            yield flush()
-
-    return texts.mapInPandas(run, "shard int, hashes binary, counts binary")
-
-
-def summed_block(block: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted keys and their counts over all blocks of one shard."""
-    hashes = np.concatenate([np.frombuffer(x, np.uint64) for x in block["hashes"]])
-    counts = np.concatenate([np.frombuffer(x, np.uint32) for x in block["counts"]]).astype(np.int64)
-    order = np.argsort(hashes, kind="stable")
-    hashes, counts = hashes[order], counts[order]
-    starts = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
-    return hashes[starts], np.add.reduceat(counts, starts)
-
-
-def shard_bits_for(keys: int, per_shard: int = 2_000_000, most: int = 16) -> int:
-    """Bits that deal `keys` keys into shards of about `per_shard`."""
-    bits = 0
-    while bits < most and keys > per_shard << bits:
-        bits += 1
-    return bits

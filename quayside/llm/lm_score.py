@@ -8,41 +8,52 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quayside.llm._shared import key_blocks, mixed, shard_bits_for, summed_block, word_hashes
-from quayside.workspace import written
+from quayside.llm._shards import cuts, group_bytes, grouped_texts, ids_of, of_groups, shard_bits, summed, ungrouped, words_in
+from quayside.llm._words import chunks, hashed_words, mixed, packed, unpacked
+from quayside.workspace import new_path
 
 ADD = 0.1
 ORDER = 2
 MU = 2000.0
 BITS_PER_ENTRY = 10
 PROBES = 4
-MAX_FILTER_BITS = 29
 MIN_REGION_BITS = 10
-GROUP_BYTES = 6_000_000
+GRAM_BYTES = 5
+BROADCAST_BYTES = 16 << 20
 
 #: Stand for the end of a text and the place before its first word; no word has these hashes but by chance.
 END = np.uint64(0x9E3779B97F4A7C15)
 START = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-def token_hashes(text: bytes) -> np.ndarray:
-    """64-bit hashes of the lower-case words, then of the end. Hashes stand for words throughout:
-    among a billion distinct words the chance that any two share one is 3 in 100."""
-    return np.append(word_hashes(text), END)
+def tokens_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the lower-case words of each text and then of its end, one text after the other, and their numbers.
 
-
-def ngram_keys(tokens: np.ndarray, order: int) -> list[np.ndarray]:
-    """Keys of the n-grams that end at each token, one array per length 1 to `order`."""
-    keys = [mixed(tokens)]
-    before = tokens
+    Hashes stand for words throughout: among a billion distinct words the chance that any two share one is 3 in 100.
+    """
+    words, counts = hashed_words(texts)
+    ends = np.cumsum(counts) + np.arange(len(counts))
+    tokens = np.empty(len(words) + len(counts), np.uint64)
+    is_end = np.zeros(len(tokens), bool)
+    is_end[ends] = True
+    tokens[is_end], tokens[~is_end] = END, words
+    return tokens, counts + 1
+
+
+def gram_keys(tokens: np.ndarray, lengths: np.ndarray, order: int) -> list[np.ndarray]:
+    """Keys of the n-grams of two to `order` tokens that end at each token, one array per length."""
+    first = np.cumsum(lengths) - lengths
+    keys, made, before = mixed(tokens), [], tokens
     with np.errstate(over="ignore"):
         for n in range(2, order + 1):
-            before = np.append(START, before[:-1])
-            keys.append(mixed(keys[-1] * np.uint64(0xD6E8FEB86659FD93) + before + np.uint64(n)))
-    return keys
+            before = np.concatenate([[START], before[:-1]])
+            before[first] = START
+            keys = mixed(keys * np.uint64(0xD6E8FEB86659FD93) + before + np.uint64(n))
+            made.append(keys)
+    return made
 
 
 def level_of(counts: np.ndarray) -> np.ndarray:
@@ -101,185 +112,251 @@ class LogFrequencyFilter:
 
 
 @dataclass
-class ShardedFilter:
-    """One filter for each shard of the key space."""
+class _Region:
+    """The part of a model for one shard: exact counts of its words and the filter of its n-grams."""
 
-    shards: dict[int, LogFrequencyFilter]
-    shard_bits: int
+    words: np.ndarray
+    counts: np.ndarray
+    grams: LogFrequencyFilter
 
-    def levels(self, keys: np.ndarray) -> np.ndarray:
-        found = np.zeros(len(keys), np.int64)
-        shard = keys >> np.uint64(64 - self.shard_bits) if self.shard_bits else np.zeros(len(keys), np.uint64)
-        for s, part in self.shards.items():
-            own = np.flatnonzero(shard == np.uint64(s))
-            found[own] = part.levels(keys[own])
-        return found
+    @classmethod
+    def of(cls, row: pd.Series | dict) -> _Region:
+        bits = LogFrequencyFilter(np.frombuffer(bytes(row["filter"]), np.uint8), int(row["filter_bits"]))
+        return cls(np.frombuffer(bytes(row["words"]), np.uint64), np.frombuffer(bytes(row["counts"]), np.int64), bits)
 
+    def word_counts(self, words: np.ndarray) -> np.ndarray:
+        if not len(self.words):
+            return np.zeros(len(words), np.int64)
+        at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
+        return np.where(self.words[at] == words, self.counts[at], 0)
+
+
+REGION = "shard int, n_tokens bigint, vocabulary bigint, words binary, counts binary, filter_bits int, filter binary"
+ABOUT = "bits int, n_order int, n_texts bigint, n_tokens bigint, vocabulary bigint, bytes bigint"
+
+
+@dataclass
+class LanguageModel:
+    """A model that lies in a folder: its regions, one for each shard of the key space, and what they amount to."""
+
+    path: str
+    bits: int
+    order: int
+    n_texts: int
+    n_tokens: int
+    vocabulary: int
+    bytes: int
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> LanguageModel:
+        """A model that `fit` has written to `path`."""
+        return cls(path, *spark.read.schema(ABOUT).parquet(f"{path}/about").first())
+
+    def regions(self, spark: SparkSession) -> DataFrame:
+        return spark.read.schema(REGION).parquet(f"{self.path}/regions")
+
+
+def _gram_part(keys: np.ndarray, bits: int) -> np.ndarray:
+    """The part of n-gram keys that is used: the `bits` that pick the shard and GRAM_BYTES bytes more."""
+    return keys >> np.uint64(max(0, 64 - 8 * GRAM_BYTES - bits))
 
-def held_out(doc_id: Column) -> Column:
-    """crc32 of the id as text is a multiple of ten; a null id is not held out."""
-    return F.coalesce(F.crc32(doc_id.cast("string")) % 10 == 0, F.lit(False))
 
+def _asked(texts: list[bytes], order: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words and n-grams of the texts, all of them, and the numbers of tokens: `words, grams, lengths`, n-grams length by length."""
+    tokens, lengths = tokens_of(texts)
+    grams = gram_keys(tokens, lengths, order)
+    return tokens, _gram_part(np.concatenate([np.zeros(0, np.uint64), *grams]), bits), lengths
 
-def build_filter(texts: DataFrame, n_tokens: int, *, order: int = ORDER, max_filter_bits: int = MAX_FILTER_BITS) -> ShardedFilter:
-    """Count all n-grams of two or more words of all `texts(text)` and gather the filter of their quantised counts.
 
-    For models that one process holds; `score` gathers none. A shard's part grows with its distinct
-    n-grams. A filter of more than 2^max_filter_bits bits is refused: nothing is ever left out.
+def _parts(words: np.ndarray, grams: np.ndarray, bits: int) -> Iterator[tuple[int, slice, slice]]:
+    """The shards and where their words and n-grams are among sorted ones."""
+    at = cuts(words, bits, 64), cuts(grams, bits, min(64, 8 * GRAM_BYTES + bits))
+    for shard in range(1 << bits):
+        some = [slice(edges[shard], edges[shard + 1]) for edges in at]
+        if any(s.start < s.stop for s in some):
+            yield shard, *some
+
+
+def _sparse(counts: np.ndarray) -> tuple[bytes, bytes]:
+    """Counts as the places of those above 1, and these."""
+    many = np.flatnonzero(counts > 1)
+    return many.astype(np.uint32).tobytes(), counts[many].astype(np.int64).tobytes()
+
+
+def _dense(n: int, many: bytes, times: bytes) -> np.ndarray:
+    counts = np.ones(n, np.int64)
+    counts[np.frombuffer(many, np.uint32)] = np.frombuffer(times, np.int64)
+    return counts
+
+
+def fit(texts: DataFrame, *, order: int = ORDER, path: str | None = None) -> LanguageModel:
+    """Count all words and n-grams of all `texts(text)`, and write the model to `path`, by default in the shared folder.
+
+    Tasks count the distinct words and n-grams of a group of texts and send them to the shards of the key space,
+    so none is hot however often it occurs. The task of a shard sums them and writes its region:
+    exact counts of words, and a log-frequency Bloom filter of all n-grams of 2 to `order` words, with their counts
+    quantised. The filter grows with the distinct n-grams, and no n-gram is left out. A null text is empty.
     """
-    shard_bits = shard_bits_for(n_tokens * (order - 1))
+    spark = texts.sparkSession
+    keys = words_in(texts) * order
+    bits, size = shard_bits(keys), group_bytes(keys)
+    names = ["shard", "words", "word_many", "word_times", "grams", "gram_many", "gram_times", "n_texts"]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts = ((x.as_py() or b"") for batch in batches for x in batch.column(0))
+        for held in chunks(texts, size):
+            words, grams, _ = _asked(held, order, bits)
+            words, word_counts = np.unique(words, return_counts=True)
+            grams, gram_counts = np.unique(grams, return_counts=True)
+            rows = [
+                (shard, words[w].tobytes(), *_sparse(word_counts[w]), packed(grams[g], GRAM_BYTES), *_sparse(gram_counts[g]), 0)
+                for shard, w, g in _parts(words, grams, bits)
+            ]
+            rows[0] = (*rows[0][:-1], len(held))
+            types = [pa.int32(), *[pa.binary()] * 6, pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), types)], names=names)
 
     def region(block: pd.DataFrame) -> pd.DataFrame:
-        made = LogFrequencyFilter.holding(*summed_block(block))
-        return pd.DataFrame({"shard": [int(block["shard"].iloc[0])], "bits": [made.region_bits], "region": [made.bits.tobytes()]})
-
-    blocks = key_blocks(texts, lambda text: np.concatenate(ngram_keys(token_hashes(text), order)[1:]), shard_bits)
-    regions = written(blocks.groupBy("shard").applyInPandas(region, "shard int, bits int, region binary"), "filter")
-    size = regions.agg(F.sum(F.octet_length("region"))).first()[0] or 0
-    if size * 8 > 1 << max_filter_bits:
-        raise ValueError(f"the filter needs {size * 8} bits, more than 2^{max_filter_bits}")
-    found = {r["shard"]: LogFrequencyFilter(np.frombuffer(r["region"], np.uint8), r["bits"]) for r in regions.toLocalIterator()}
-    return ShardedFilter(found, shard_bits)
-
-
-def _groups(batches: Iterator[pa.RecordBatch], group_bytes: int) -> Iterator[list[tuple]]:
-    """Rows `(doc_id, place, text, ...)` in runs of about `group_bytes`, whatever the batches."""
-    held, size = [], 0
-    for batch in batches:
-        for row in zip(*(column.to_pylist() for column in batch.columns)):
-            held.append(row)
-            size += len(row[2])
-            if size >= group_bytes:
-                yield held
-                held, size = [], 0
-    if held:
-        yield held
-
-
-def _keys(texts: list[bytes], order: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Tokens of each text; their keys one text after the other, one array per length of n-gram."""
-    tokens = [token_hashes(t) for t in texts]
-    return np.array([len(t) for t in tokens]), [np.concatenate(k) for k in zip(*[ngram_keys(t, order) for t in tokens])]
-
-
-def _counted(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct keys and the sums of their weights."""
-    if not len(keys):
-        return keys, np.zeros(0, np.int64)
-    order = np.argsort(keys)
-    keys = keys[order]
-    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    return keys[starts], np.add.reduceat(weights[order], starts)
-
-
-def _summed(hashes: pd.Series, counts: pd.Series) -> tuple[np.ndarray, np.ndarray]:
-    if not hashes.map(len).any():
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    return summed_block(pd.DataFrame({"hashes": hashes, "counts": counts}))
-
-
-def score(
-    docs: DataFrame, *, training: Callable[[Column], Column] = lambda doc_id: ~held_out(doc_id), order: int = ORDER,
-    head_words: int | None = None,
-) -> DataFrame:
-    """One row per row of `docs(doc_id, text, ...)`: `doc_id, held_out, n_tokens, n_known, train_tokens,
-    base_score, score`.
+        words = [np.frombuffer(x, np.uint64) for x in block["words"]]
+        words, counts, _ = summed(words, [_dense(len(x), *y) for x, y in zip(words, zip(block["word_many"], block["word_times"]))])
+        shard = int(block["shard"].iloc[0])
+        grams = [unpacked(x, GRAM_BYTES) + (np.uint64(shard) << np.uint64(8 * GRAM_BYTES)) for x in block["grams"]]
+        grams, times, _ = summed(grams, [_dense(len(x), *y) for x, y in zip(grams, zip(block["gram_many"], block["gram_times"]))])
+        made = LogFrequencyFilter.holding(grams, times)
+        row = {
+            "shard": shard, "n_texts": int(block["n_texts"].sum()), "n_tokens": int(counts.sum()), "vocabulary": len(words),
+            "words": words.tobytes(), "counts": counts.tobytes(), "filter_bits": made.region_bits, "filter": made.bits.tobytes(),
+        }
+        return pd.DataFrame([row])
+
+    kinds = ["int", *["binary"] * 6, "bigint"]
+    blocks = texts.select(F.col("text").cast("binary").alias("text")).mapInArrow(count, ", ".join(map(" ".join, zip(names, kinds))))
+    path = path or new_path(spark, "model")
+    blocks.groupBy("shard").applyInPandas(region, f"n_texts bigint, {REGION}").write.parquet(f"{path}/regions")
+    sums = [F.coalesce(F.sum(c), F.lit(0)) for c in ("n_texts", "n_tokens", "vocabulary")]
+    held = F.octet_length("words") + F.octet_length("counts") + F.octet_length("filter")
+    found = spark.read.schema(f"n_texts bigint, {REGION}").parquet(f"{path}/regions").agg(*sums, F.coalesce(F.sum(held), F.lit(0))).first()
+    about = LanguageModel(path, bits, order, *found)
+    row = [(about.bits, about.order, about.n_texts, about.n_tokens, about.vocabulary, about.bytes)]
+    spark.createDataFrame(row, ABOUT).coalesce(1).write.parquet(f"{path}/about")
+    return about
+
+
+SCORED = "doc_id bigint, n_tokens bigint, n_known bigint, base_score double, score double"
+
+
+def _scored(model: LanguageModel, lengths: np.ndarray, counts: np.ndarray, levels: np.ndarray) -> dict[str, np.ndarray]:
+    """The scores of texts from the counts of their tokens and the levels of their n-grams, length by length."""
+    row = np.repeat(np.arange(len(lengths)), lengths)
+    count = counts.astype(np.float64)
+    p = (count + ADD) / (model.n_tokens + ADD * (model.vocabulary + 1))
+    base, known = np.log10(p), count > 0
+    starts = np.cumsum(lengths) - lengths
+    for n in range(model.order - 1):
+        history = np.concatenate([[0.0], count[:-1]])  # the count of what ends one token earlier
+        history[starts] = model.n_texts
+        count = count_of(levels[n * len(row) : (n + 1) * len(row)].astype(np.int64))
+        p = (count + MU * p) / (np.maximum(history, count) + MU)
+    return {
+        "n_tokens": lengths, "n_known": np.bincount(row, known, len(lengths)).astype(np.int64),
+        "base_score": np.bincount(row, base, len(lengths)), "score": np.bincount(row, np.log10(np.minimum(p, 1.0)), len(lengths)),
+    }
+
+
+def score_with(docs: DataFrame, model: LanguageModel, *, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """One row per row of `docs(doc_id, text, ...)`: SCORED, by a model of whatever texts.
 
     `score` is the log10 probability of the text under an n-gram model with Dirichlet smoothing,
     P(w|h) = (c(hw) + MU P'(w|h')) / (c(h) + MU), down to (c(w) + 0.1) / (N + 0.1 (V + 1)). Counts of
-    single words are exact in both scores; those of longer n-grams come out of the filter.
-
-    Nothing of the model is gathered or broadcast. Tasks count the distinct words and n-grams of a
-    group of about GROUP_BYTES of text, and send them to the shards of the key space. The task of a
-    shard sums the counts, makes its filter of all n-grams there are, and answers each group, whose
-    texts meet the answers by a shuffle. A word or n-gram is one entry of a group however often it
-    occurs, so none is hot. `head_words` has no effect; it is left for callers that give it.
-
-    A null text is empty and has the end alone. The rows are told apart by their place in the
-    input, so repeated rows and null ids keep one row each; `docs` should be a table scan, which
-    gives the same places each time it is read; the job fails if it does not. With no training rows
-    the counts are all zero. Other columns are ignored.
+    single words are exact; those of longer n-grams come out of probes of the filter, and nothing else of
+    them is known.
+
+    A model of at most `broadcast_bytes` goes to all workers, and each text is scored where it is read. The
+    regions of a larger one stay where they are: groups of texts send their distinct words and n-grams to the
+    shards, whose regions are probed there, and texts meet the answers by a shuffle. The same regions answer, so both give the
+    same scores. A null text is empty and has the end alone; repeated rows and null ids keep one row each. Other columns are ignored.
     """
-    group_bytes = GROUP_BYTES
-    rows = docs.select(
-        F.col("doc_id").cast("bigint").alias("doc_id"),
-        F.monotonically_increasing_id().alias("_place"),
-        F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"),
-        F.coalesce(training(F.col("doc_id")), F.lit(False)).alias("_train"),
-    )
-    size = rows.agg(F.coalesce(F.sum(F.octet_length("text") / 6 + 1), F.lit(0)), F.count(F.when(F.col("_train"), 1))).first()
-    shard_bits, at_start = shard_bits_for(int(size[0]) * order), int(size[1])
-    none = np.zeros(0, np.uint64)
-    cuts = np.arange(1, 1 << shard_bits, dtype=np.uint64) << np.uint64(64 - shard_bits) if shard_bits else none
+    spark = docs.sparkSession
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    if model.bytes <= broadcast_bytes:
+        return _scored_by_broadcast(rows, model, model.regions(spark))
+    return _scored_by_shuffle(rows, model, model.regions(spark))
+
+
+def _scored_by_broadcast(rows: DataFrame, model: LanguageModel, regions: DataFrame) -> DataFrame:
+    spark = rows.sparkSession
+    held = spark.sparkContext.broadcast([row.asDict() for row in regions.collect()])  # checked against broadcast_bytes
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = {row["shard"]: _Region.of(row) for row in held.value}
+        for batch in batches:
+            at, out = 0, []
+            for texts in chunks((x.as_py() or "").encode() for x in batch.column(1)):
+                words, grams, lengths = _asked(texts, model.order, model.bits)
+                some, word_at = np.unique(words, return_inverse=True)
+                keys, gram_at = np.unique(grams, return_inverse=True)
+                counts, levels = np.zeros(len(some), np.int64), np.zeros(len(keys), np.uint8)
+                for shard, w, g in _parts(some, keys, model.bits):
+                    if shard in parts:
+                        counts[w], levels[g] = parts[shard].word_counts(some[w]), parts[shard].grams.levels(keys[g])
+                found = _scored(model, lengths, counts[word_at], levels[gram_at])
+                out.append(pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), *map(pa.array, found.values())], names=["doc_id", *found]))
+                at += len(texts)
+            yield from out
+
+    return rows.mapInArrow(run, SCORED)
+
+
+def _scored_by_shuffle(rows: DataFrame, model: LanguageModel, regions: DataFrame) -> DataFrame:
+    groups = grouped_texts(rows, group_bytes(words_in(rows) * model.order))
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for grp, _, texts in of_groups(batches):
+            words, grams, _ = _asked(texts, model.order, model.bits)
+            words, grams = np.unique(words), np.unique(grams)
+            out = [(shard, grp, words[w].tobytes(), packed(grams[g], GRAM_BYTES)) for shard, w, g in _parts(words, grams, model.bits)]
+            types = [pa.int32(), pa.int64(), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), types)], names=["shard", "grp", "words", "grams"])
+
+    def answer(asked: pd.DataFrame, region: pd.DataFrame) -> pd.DataFrame:
+        words = [np.frombuffer(x, np.uint64) for x in asked["words"]]
+        if not len(region):
+            counts, levels = [np.zeros(len(w), np.int64) for w in words], [bytes(len(g) // GRAM_BYTES) for g in asked["grams"]]
+        else:
+            own, shard = _Region.of(region.iloc[0]), np.uint64(int(region["shard"].iloc[0]) << 8 * GRAM_BYTES)
+            counts = [own.word_counts(w) for w in words]
+            levels = [own.grams.levels(unpacked(g, GRAM_BYTES) + shard).astype(np.uint8).tobytes() for g in asked["grams"]]
+        # Most counts are small; the others are sent with their places.
+        small = [np.minimum(c, 255).astype(np.uint8).tobytes() for c in counts]
+        large = [c[c >= 255].tobytes() for c in counts]
+        return pd.DataFrame({"grp": asked["grp"], "shard": asked["shard"], "small": small, "large": large, "levels": levels})
+
+    def settle(group: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        meta, texts = ungrouped(group["meta"].iloc[0], group["texts"].iloc[0])
+        words, grams, lengths = _asked(texts, model.order, model.bits)
+        answers = answers.sort_values("shard")
+        counts = np.frombuffer(b"".join(answers["small"]), np.uint8).astype(np.int64)
+        counts[counts == 255] = np.frombuffer(b"".join(answers["large"]), np.int64)
+        levels = np.frombuffer(b"".join(answers["levels"]), np.uint8)
+        word_at, gram_at = np.unique(words, return_inverse=True)[1], np.unique(grams, return_inverse=True)[1]
+        return pd.DataFrame({"doc_id": ids_of(meta, "doc_id"), **_scored(model, lengths, counts[word_at], levels[gram_at])})
+
+    asked = groups.mapInArrow(ask, "shard int, grp bigint, words binary, grams binary")
+    answers = asked.groupBy("shard").cogroup(regions.groupBy("shard")).applyInPandas(answer, "grp bigint, shard int, small binary, large binary, levels binary")
+    return groups.groupBy("grp").cogroup(answers.groupBy("grp")).applyInPandas(settle, SCORED)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for held in _groups(batches, group_bytes):
-            lengths, keys = _keys([r[2] for r in held], order)
-            weights = np.repeat(np.array([r[3] for r in held], np.uint32), lengths)
-            parts = []
-            for hashes, counts in (_counted(keys[0], weights), _counted(np.concatenate([none, *keys[1:]]), np.tile(weights, order - 1))):
-                edges = [0, *map(int, np.searchsorted(hashes, cuts)), len(hashes)]
-                parts.append([(hashes[a:b].tobytes(), counts[a:b].astype(np.uint32).tobytes()) for a, b in zip(edges, edges[1:])])
-            out = [(s, held[0][1], *w, *g) for s, (w, g) in enumerate(zip(*parts)) if w[0] or g[0]]
-            types = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
-            names = ["shard", "grp", "words", "word_counts", "grams", "gram_counts"]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), types)], names=names)
-
-    def answer(block: pd.DataFrame) -> pd.DataFrame:
-        words, counts = _summed(block["words"], block["word_counts"])
-        grams, times = _summed(block["grams"], block["gram_counts"])
-        levels = LogFrequencyFilter.holding(grams[times > 0], times[times > 0]).levels(grams).astype(np.uint8)
-        out = pd.DataFrame({
-            "grp": block["grp"], "shard": block["shard"],
-            "counts": [counts[np.searchsorted(words, np.frombuffer(x, np.uint64))].tobytes() for x in block["words"]],
-            "levels": [levels[np.searchsorted(grams, np.frombuffer(x, np.uint64))].tobytes() for x in block["grams"]],
-            "total": 0, "vocabulary": 0,
-        })
-        # Each shard's sums are in one row.
-        out.loc[out.index[0], ["total", "vocabulary"]] = [int(counts.sum()), int((counts > 0).sum())]
-        return out
-
-    blocks = rows.mapInArrow(count, "shard int, grp bigint, words binary, word_counts binary, grams binary, gram_counts binary")
-    answers = written(
-        blocks.groupBy("shard").applyInPandas(answer, "grp bigint, shard int, counts binary, levels binary, total bigint, vocabulary bigint"), "answers"
-    )
-    sums = answers.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("vocabulary"), F.lit(0))).first()
-    n_train, norm = int(sums[0]), int(sums[0]) + ADD * (int(sums[1]) + 1)
-
-    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for held in _groups(batches, group_bytes):
-            ids, places, texts = zip(*(r[:3] for r in held))
-            # Pandas would make floats of ids with a null among them.
-            columns = [[places[0]] * len(held), [i or 0 for i in ids], [i is None for i in ids], places, texts]
-            types = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types)], names=["grp", "doc_id", "_null", "_place", "text"])
-
-    def scored(texts: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        texts, found = texts.sort_values("_place"), found.sort_values("shard")
-        lengths, keys = _keys(list(texts["text"]), order)
-        row = np.repeat(np.arange(len(texts)), lengths)
-        words, back = np.unique(keys[0], return_inverse=True)
-        grams, at = np.unique(np.concatenate([none, *keys[1:]]), return_inverse=True)
-        exact = np.frombuffer(b"".join(found["counts"]), np.int64)
-        levels = np.frombuffer(b"".join(found["levels"]), np.uint8)
-        if len(exact) != len(words) or len(levels) != len(grams):
-            raise ValueError("docs gave other rows when read again")
-        count = exact[back].astype(np.float64)
-        p = (count + ADD) / norm
-        base, known = np.log10(p), count > 0
-        starts = np.cumsum(lengths) - lengths
-        for n in range(order - 1):
-            history = np.concatenate([[0.0], count[:-1]])  # the count of what ends one token earlier
-            history[starts] = at_start
-            count = count_of(levels[at[n * len(row) : (n + 1) * len(row)]].astype(np.int64))
-            p = (count + MU * p) / (np.maximum(history, count) + MU)
-        return pd.DataFrame({
-            "doc_id": pd.arrays.IntegerArray(texts["doc_id"].to_numpy(np.int64), texts["_null"].to_numpy(bool)), "n_tokens": lengths, "n_known": np.bincount(row, known, len(texts)).astype(np.int64),
-            "base_score": np.bincount(row, base, len(texts)), "score": np.bincount(row, np.log10(np.minimum(p, 1.0)), len(texts)),
-        })
-
-    texts = rows.mapInArrow(placed, "grp bigint, doc_id bigint, _null boolean, _place bigint, text binary")
-    out = texts.groupBy("grp").cogroup(answers.select("grp", "shard", "counts", "levels").groupBy("grp")).applyInPandas(
-        scored, "doc_id bigint, n_tokens bigint, n_known bigint, base_score double, score double"
-    )
-    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(n_train).cast("bigint").alias("train_tokens"), "base_score", "score")
+
+def held_out(doc_id: Column) -> Column:
+    """crc32 of the id as text is a multiple of ten; a null id is not held out."""
+    return F.coalesce(F.crc32(doc_id.cast("string")) % 10 == 0, F.lit(False))
+
+
+def score(docs: DataFrame, *, training: Callable[[Column], Column] = lambda doc_id: ~held_out(doc_id), order: int = ORDER, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """One row per row of `docs(doc_id, text, ...)`: `doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`.
+
+    A model is fitted to the rows that `training` picks (`fit`) and scores all (`score_with`).
+    `base_score` is that of single words alone. With no training rows the counts are all zero.
+    """
+    model = fit(docs.where(F.coalesce(training(F.col("doc_id")), F.lit(False))).select("text"), order=order)
+    found = score_with(docs, model, broadcast_bytes=broadcast_bytes)
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(model.n_tokens).cast("bigint").alias("train_tokens"), "base_score", "score")

@@ -520,63 +520,73 @@ def test_html_of_given_pages(spark):
 
 
 # 10 language model
-def test_lm_score(spark, documents, edge, empty):
-    rows = [(r["doc_id"], r["text"]) for r in documents.collect()]
+def counted(rows):
+    """Exact counts of the words, with None for the end, of the training texts."""
     counts = collections.Counter()
     for i, t in rows:
         if zlib.crc32(str(i).encode()) % 10:
             counts.update([*t.encode().lower().split(), None])
+    return counts
+
+
+@pytest.mark.parametrize("broadcast_bytes", [1 << 30, 0])
+def test_lm_score(documents, edge, empty, broadcast_bytes):
+    """By a broadcast model and by its regions."""
+    rows = [(r["doc_id"], r["text"]) for r in documents.collect()]
+    counts = counted(rows)
     n, v = sum(counts.values()), len(counts)
-    for head in (400_000, 50):
-        out = {r["doc_id"]: r for r in lm_score.score(documents, head_words=head).collect()}
-        for i, t in rows:
-            tokens = [*t.encode().lower().split(), None]
-            r = out[i]
-            assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(tokens), sum(counts[w] > 0 for w in tokens), n)
-            assert r["base_score"] == pytest.approx(sum(math.log10((counts[w] + 0.1) / (n + 0.1 * (v + 1))) for w in tokens))
+    out = {r["doc_id"]: r for r in lm_score.score(documents, broadcast_bytes=broadcast_bytes).collect()}
+    for i, t in rows:
+        tokens = [*t.encode().lower().split(), None]
+        r = out[i]
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(tokens), sum(counts[w] > 0 for w in tokens), n)
+        assert r["base_score"] == pytest.approx(sum(math.log10((counts[w] + 0.1) / (n + 0.1 * (v + 1))) for w in tokens))
     held = [r for r in out.values() if r["held_out"]]
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
-    odd = lm_score.score(edge).collect()
+    odd = lm_score.score(edge, broadcast_bytes=broadcast_bytes).collect()
     assert len(odd) == 10 and sorted(r["n_tokens"] for r in odd) == [1, 1, 1, 1, 3, 3, 3, 7, 60_001, 60_002]
-    assert lm_score.score(empty).count() == 0
+    assert lm_score.score(empty, broadcast_bytes=broadcast_bytes).count() == 0
 
 
-def test_filter_holds_quantised_counts(spark):
-    """Levels come back exactly but for the filter's false positives, also when rare n-grams had to go."""
-    texts = [" ".join(f"w{i % m}" for i in range(4000)) for m in (3, 50, 700)]
-    counts = collections.Counter()
-    for t in texts:
-        counts.update(lm_score.ngram_keys(lm_score.token_hashes(t.encode()), 2)[1].tolist())
-    df = spark.createDataFrame([(t,) for t in texts], "text string")
-    keys = np.array(list(counts), np.uint64)
-    want = lm_score.level_of(np.array(list(counts.values())))
-    bloom = lm_score.build_filter(df, 12_003)
-    got = bloom.levels(keys)
+def test_filter_holds_quantised_counts():
+    """Levels come back exactly but for the filter's false positives, which only raise them; absent n-grams are mostly absent."""
+    rng = np.random.default_rng(1)
+    keys = np.unique(rng.integers(0, 2**46, 20_000, dtype=np.uint64))
+    counts = rng.geometric(0.3, len(keys)) ** 2
+    bloom = lm_score.LogFrequencyFilter.holding(keys, counts)
+    got, want = bloom.levels(keys), lm_score.level_of(counts)
     assert (got >= want).all() and (got == want).mean() > 0.95
-    small = lm_score.build_filter(df, 12_003, max_filter_bits=20)
-    assert (small.levels(keys) >= 0).all()
+    others = np.setdiff1d(rng.integers(0, 2**46, 20_000, dtype=np.uint64), keys)
+    assert (bloom.levels(others) > 0).mean() < 0.05
+    assert (bloom.levels(others) > 0).any()
 
 
-def test_lm_score_leaves_out_no_count(spark, documents, monkeypatch):
-    """Words count exactly and every n-gram is in the filter, over many shards and groups; a filter that would have to cut is refused."""
-    monkeypatch.setattr(lm_score, "shard_bits_for", lambda keys: 3)
-    monkeypatch.setattr(lm_score, "GROUP_BYTES", 20_000, raising=False)
-    rows = [(r["doc_id"], [*lm_score.token_hashes(r["text"].encode()).tolist()]) for r in documents.collect()]
+def test_saved_model_scores_other_documents(spark, documents, monkeypatch, tmp_path):
+    """Over many shards and groups, broadcast or not, with the same scores; only probes of the filter tell about n-grams."""
+    monkeypatch.setattr(lm_score, "shard_bits", lambda keys: 3)
+    monkeypatch.setattr(lm_score, "group_bytes", lambda keys: 20_000)
+    rows = [(r["doc_id"], r["text"]) for r in documents.collect()]
     train = documents.where(~lm_score.held_out(F.col("doc_id"))).select("text")
-    words = collections.Counter()
-    for i, t in rows:
-        if zlib.crc32(str(i).encode()) % 10:
-            words.update(t)
-    n, v = sum(words.values()), len(words)
-    bloom = lm_score.build_filter(train, n)
-    out = {r["doc_id"]: r["score"] for r in lm_score.score(documents).collect()}
-    for i, t in rows:
-        many = lm_score.count_of(bloom.levels(lm_score.ngram_keys(np.array(t, np.uint64), 2)[1]))
-        history = [words[int(lm_score.END)], *(words[w] for w in t[:-1])]
-        p = [(c + 2000 * (words[w] + 0.1) / (n + 0.1 * (v + 1))) / (max(h, c) + 2000) for c, w, h in zip(many, t, history)]
-        assert out[i] == pytest.approx(sum(math.log10(x) for x in p))
-    with pytest.raises(ValueError):
-        lm_score.build_filter(train, n, max_filter_bits=12)
+    made = lm_score.fit(train, order=3, path=f"file://{tmp_path}/model")
+    model = lm_score.LanguageModel.load(spark, f"file://{tmp_path}/model")
+    assert made == model and model.bits == 3 and model.regions(spark).count() == 8
+    counts = counted(rows)
+    assert (model.n_tokens, model.vocabulary, model.n_texts) == (sum(counts.values()), len(counts), counts[None])
+    other = docs_of(spark, [(1, rows[0][1], "a"), (2, "never seen " + rows[1][1], "a"), (None, None, "a"), (3, "x", "a")])
+    one, two = ({r["doc_id"]: tuple(r) for r in lm_score.score_with(other, model, broadcast_bytes=b).collect()} for b in (1 << 30, 0))
+    assert one.keys() == two.keys() and all(one[i][:3] == two[i][:3] and one[i][3:] == pytest.approx(two[i][3:]) for i in one)
+    regions = {r["shard"]: lm_score._Region.of(r.asDict()) for r in model.regions(spark).collect()}
+    for i, text in ((1, rows[0][1]), (2, "never seen " + rows[1][1])):
+        words = [*text.encode().lower().split(), None]
+        c = [counts[w] for w in words]
+        p = [(x + 0.1) / (model.n_tokens + 0.1 * (model.vocabulary + 1)) for x in c]
+        tokens, lengths = lm_score.tokens_of([text.encode()])
+        for keys in lm_score.gram_keys(tokens, lengths, 3):
+            keys = lm_score._gram_part(keys, 3)
+            many = [float(lm_score.count_of(regions[int(k) >> 40].grams.levels(np.array([k], np.uint64)))[0]) for k in keys]
+            history = [model.n_texts, *c[:-1]]
+            p, c = [(m + 2000 * q) / (max(h, m) + 2000) for m, q, h in zip(many, p, history)], many
+        assert one[i][4] == pytest.approx(sum(math.log10(min(x, 1.0)) for x in p))
 
 
 def test_pipeline(spark):
