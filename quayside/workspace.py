@@ -2,7 +2,7 @@
 
 Everything goes below the folder the cluster names in `spark.checkpoint.dir`, so that every
 executor sees it and a lost executor loses nothing. Where the session names none, the warehouse
-folder takes its place, which is shared as well.
+folder takes its place, but on a cluster only if it is not a folder of one machine.
 """
 
 from __future__ import annotations
@@ -25,7 +25,11 @@ def shared_root(spark: SparkSession) -> str:
     app = spark.sparkContext.applicationId
     if app not in _roots:
         base = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getCheckpointDir()
-        base = base or spark.conf.get("spark.sql.warehouse.dir")
+        if not base:
+            base = spark.conf.get("spark.sql.warehouse.dir")
+            local = re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master) is not None
+            if not local and re.match(r"(file:|/)", base):
+                raise ValueError(f"set {CHECKPOINT_DIR} to a folder that all machines share")
         _roots[app] = f"{base.rstrip('/')}/quayside-{uuid.uuid4().hex}"
         atexit.register(cleanup, spark)
     return _roots[app]
