@@ -25,8 +25,9 @@ BLOCK_TAGS = frozenset(
 )
 # Elements whose content is no text of the page.
 RAW_TAGS = ("script", "style", "textarea", "title", "noscript", "iframe", "template", "xmp", "noembed", "noframes", "svg", "math", "object")
-# Elements that hold what surrounds a text.
-SURROUNDING_TAGS = frozenset("nav footer aside form menu button select dialog fieldset search head".split())
+# Elements that hold what surrounds a text, and those that may as well be put around a whole page.
+SURROUNDING_TAGS = frozenset("nav footer aside menu button select dialog search head".split())
+WRAPPING_TAGS = frozenset(("form", "fieldset"))
 CONTENT_TAGS = frozenset(("article", "main"))
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 # Words in class, id or role that name what surrounds a text, or the text.
@@ -37,6 +38,8 @@ SURROUNDING_NAMES = frozenset(
     " widget copyright legal adsbygoogle promoted skip search tags contentinfo complementary form subscription teaser".split()
 )
 CONTENT_NAMES = frozenset("article articlebody main content post entry story".split())
+# First words of names that speak of something that is elsewhere on the page.
+ABOUT_OTHERS = frozenset("has no not with without hide show is".split())
 
 TAG = re.compile(
     r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -50,12 +53,14 @@ NAMING = frozenset(("class", "id", "role", "itemprop"))
 NAME_CUT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
 EDGES = re.compile(r"^\W+|\W+$")
 
+# Thresholds for texts whose paragraphs have a quarter to a third of stop words, and a tenth where they are poor in them.
 MAX_LINK_DENSITY = 0.2
 MAX_CONTENT_LINK_DENSITY = 0.7
 SHORT = 70
-LONG = 200
-STOP_HIGH = 0.32
-STOP_LOW = 0.30
+LONG = 120
+VERY_LONG = 200
+STOP_HIGH = 0.20
+STOP_LOW = 0.10
 
 GOOD, BAD, SHORT_BLOCK, NEAR = "good", "bad", "short", "near"
 
@@ -64,7 +69,9 @@ GOOD, BAD, SHORT_BLOCK, NEAR = "good", "bad", "short", "near"
 class Block:
     """A run of text without a block element inside."""
 
+    #: Inside an element that surrounds texts; inside one whose name says so; inside the content.
     surrounding: bool
+    named: bool
     content: bool
     heading: bool
     parts: list[str] = field(default_factory=list)
@@ -74,7 +81,11 @@ class Block:
 
 
 def _names(attributes: str) -> tuple[set[str], bool, bool]:
-    """Words in class, id, role and itemprop; whether there is a link; whether it is hidden."""
+    """What class, id, role and itemprop call an element; whether there is a link; whether it is hidden.
+
+    A name counts as a whole. Of a name of several words the last counts too, as that says what the
+    element is, unless the first says that it speaks of another (`has-sidebar`).
+    """
     names: set[str] = set()
     link = hidden = False
     for key, value in ATTRIBUTE.findall(attributes):
@@ -84,22 +95,26 @@ def _names(attributes: str) -> tuple[set[str], bool, bool]:
         elif key in ("hidden", "aria-hidden"):
             hidden = hidden or value.lower() in ("", "hidden", "true")
         elif key in NAMING:
-            names.update(x.lower() for word in value.split() for x in (word, *NAME_CUT.split(word)) if x)
+            for word in value.split():
+                parts = [x.lower() for x in NAME_CUT.split(word) if x]
+                names.add(word.lower())
+                if parts and parts[0] not in ABOUT_OTHERS:
+                    names.add(parts[-1])
     return names, link, hidden
 
 
 def blocks_of(page: str) -> list[Block]:
     """The blocks of a page in order, each with its place: inside something surrounding, or inside the content."""
     blocks: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # open block elements: name, surrounding, content
+    stack: list[tuple[str, bool, bool, bool]] = []  # open block elements: name, surrounding, named, content
     current: Block | None = None
     in_link = False
     at = 0
 
     def place(heading: bool = False) -> Block:
-        _, surrounding, content = stack[-1] if stack else ("", False, False)
-        heading = heading or any(name[0] == "h" and name[1:].isdigit() for name, _, _ in stack[-1:])
-        return Block(surrounding, content, heading)
+        _, surrounding, named, content = stack[-1] if stack else ("", False, False, False)
+        heading = heading or any(entry[0][0] == "h" and entry[0][1:].isdigit() for entry in stack[-1:])
+        return Block(surrounding, named, content, heading)
 
     def add(raw: str) -> None:
         nonlocal current
@@ -150,12 +165,22 @@ def blocks_of(page: str) -> list[Block]:
                     stack.pop()
                 if stack and stack[-1][0] == name and name in ("li", "dd", "dt", "tr", "td", "th", "option"):
                     stack.pop()
-                _, surrounding, content = stack[-1] if stack else ("", False, False)
+                _, surrounding, named, content = stack[-1] if stack else ("", False, False, False)
                 names, _, hidden = _names(attributes)
-                named_content = name in CONTENT_TAGS or bool(names & CONTENT_NAMES)
-                around = name in SURROUNDING_TAGS or hidden or bool(names & SURROUNDING_NAMES) and name not in ("html", "body", *CONTENT_TAGS)
-                around = around or (name == "header" or "header" in names) and not content
-                stack.append((name, surrounding or around, content or named_content and not around))
+                if name in CONTENT_TAGS:
+                    # The innermost of such elements says more than a name around it.
+                    named, content = False, not surrounding
+                elif name in SURROUNDING_TAGS or (name == "header" or "header" in names) and not content:
+                    surrounding, content = True, False
+                elif name not in ("html", "body"):
+                    around, inside = bool(names & SURROUNDING_NAMES) or name in WRAPPING_TAGS, bool(names & CONTENT_NAMES)
+                    if around and not inside:
+                        named, content = True, False
+                    elif inside and not around:
+                        content = not named and not surrounding
+                if hidden:
+                    surrounding, content = True, False
+                stack.append((name, surrounding, named, content))
     if at < len(page):
         add(page[at:])
     end_block()
@@ -167,17 +192,39 @@ def stop_density(text: str) -> float:
     return sum(EDGES.sub("", w) in STOP_WORDS for w in words) / max(1, len(words))
 
 
-def _first_label(b: Block, content: bool) -> str:
-    """Link density, length and stop-word density; a block in the content has other thresholds."""
-    links = b.link_chars / max(1, len("".join(b.text.split())))
-    if b.surrounding:
+def _link_density(b: Block) -> float:
+    return b.link_chars / max(1, len("".join(b.text.split())))
+
+
+def _rich(b: Block) -> bool:
+    """Long, with many stop words and few links: a paragraph, wherever it stands."""
+    return len(b.text) > LONG and stop_density(b.text) >= STOP_HIGH and _link_density(b) <= MAX_LINK_DENSITY
+
+
+def in_known_language(blocks: list[Block]) -> bool:
+    """Whether as many words of these blocks are stop words as in a poor paragraph of the languages of STOP_WORDS."""
+    words = [EDGES.sub("", w) for b in blocks for w in b.text.lower().split()]
+    return sum(w in STOP_WORDS for w in words) >= STOP_LOW * len(words)
+
+
+def _first_label(b: Block, known: bool) -> str:
+    """Link density, length and stop-word density; place shifts what is asked of them.
+
+    In the content a block needs no length if it has some stop words, and none of these if it is very long or
+    the content is in no `known` language. Surrounding elements have no good block.
+    """
+    links, density, size = _link_density(b), stop_density(b.text), len(b.text)
+    if b.surrounding or b.named:
         return BAD
-    if links > (MAX_CONTENT_LINK_DENSITY if content else MAX_LINK_DENSITY):
-        return SHORT_BLOCK if content else BAD
-    density = stop_density(b.text)
-    if content or density >= STOP_HIGH and len(b.text) > LONG:
-        return GOOD
-    return SHORT_BLOCK if len(b.text) < SHORT else NEAR if density >= STOP_LOW else BAD
+    if links > (MAX_CONTENT_LINK_DENSITY if b.content else MAX_LINK_DENSITY):
+        return SHORT_BLOCK if b.content else BAD
+    if b.content:
+        return GOOD if density >= STOP_LOW or size > VERY_LONG or not known else SHORT_BLOCK
+    if size < SHORT:
+        return SHORT_BLOCK
+    if density >= STOP_HIGH:
+        return GOOD if size > LONG else NEAR
+    return NEAR if density >= STOP_LOW else BAD
 
 
 def classify(blocks: list[Block]) -> None:
@@ -185,41 +232,44 @@ def classify(blocks: list[Block]) -> None:
     blocks take the label of the nearest decided neighbours; at equal distance both have to be good.
 
     Elements that call themselves the content lower the thresholds inside, and undecided blocks ask only
-    neighbours on their own side; long blocks outside with many stop words stay good. Where such blocks
-    outside hold more text than the content, its name is not believed, and place says nothing.
+    neighbours on their own side; long blocks outside with many stop words stay good. Where most of
+    the rich text is in elements with a surrounding name, or outside of the content, these names are not
+    believed, and place says nothing of them.
     """
-    inside = outside = 0
-    for b in blocks:
-        b.label = _first_label(b, b.content)
-        if b.label == GOOD:
-            inside, outside = inside + len(b.text) * b.content, outside + len(b.text) * (not b.content)
-    if outside > inside:
+    rich = [(b, len(b.text)) for b in blocks if not b.surrounding and _rich(b)]
+    if sum(n for b, n in rich if b.named) > sum(n for b, n in rich if not b.named):
         for b in blocks:
-            b.label = _first_label(b, False)
-        _ask_neighbours(blocks)
-    else:
-        _ask_neighbours([b for b in blocks if b.content])
-        _ask_neighbours([b for b in blocks if not b.content])
-
-
-def _ask_neighbours(blocks: list[Block]) -> None:
-    before: list[tuple[str, int]] = []
-    last, far = BAD, 0
+            b.named = False
+    if sum(n for b, n in rich if not b.named and not b.content) > sum(n for b, n in rich if b.content):
+        for b in blocks:
+            b.content = False
+    inside, outside = [b for b in blocks if b.content], [b for b in blocks if not b.content]
+    known = in_known_language(inside)
     for b in blocks:
-        far += 1
-        if b.label in (GOOD, BAD):
-            last, far = b.label, 0
-        before.append((last, far))
-    last, far, after = BAD, 0, [("", 0)] * len(blocks)
-    for k in range(len(blocks) - 1, -1, -1):
-        far += 1
-        if blocks[k].label in (GOOD, BAD):
-            last, far = blocks[k].label, 0
-        after[k] = (last, far)
-    for b, (left, near_left), (right, near_right) in zip(blocks, before, after):
+        b.label = _first_label(b, known)
+    # What stands around the content says nothing about it, and a page ends with what surrounds texts.
+    _ask_neighbours(inside, "")
+    _ask_neighbours(outside, BAD)
+
+
+def _ask_neighbours(blocks: list[Block], edge: str) -> None:
+    """Give undecided blocks a label; before the first and after the last block stands one with the label `edge`, if any."""
+
+    def nearest(run: list[Block]) -> list[tuple[str, int]]:
+        out, last, far = [], edge, 0
+        for b in run:
+            far += 1
+            if b.label in (GOOD, BAD):
+                last, far = b.label, 0
+            out.append((last, far))
+        return out
+
+    sides = zip(blocks, nearest(blocks), reversed(nearest(blocks[::-1])))
+    for b, (left, near_left), (right, near_right) in list(sides):
         if b.label in (SHORT_BLOCK, NEAR):
+            left, right = left or right, right or left
             if left == right:
-                b.label = left
+                b.label = left or BAD
             elif b.label == NEAR or b.heading:
                 b.label = right if b.heading else GOOD
             elif near_left != near_right:
