@@ -136,6 +136,18 @@ def canonical_records(records: DataFrame, record: str) -> DataFrame:
     return marked.withColumns({"layout": layout, "turns": turns}).drop("_print", "_record")
 
 
+def turns_of_records(records: DataFrame, record: str) -> DataFrame:
+    """`(conv_id, turn, role, text)` of `records(conv_id, turn, ...)`: the turns of JSON records of any known layouts.
+
+    `turn` is where a record begins in its conversation, and its turns count on from there. A record
+    of no known layout raises an error when the result is read, so that none is left out.
+    """
+    mapped = canonical_records(records.select("conv_id", "turn", F.col(record).alias("_json")), "_json")
+    turns = F.when(F.col("layout").isNull(), F.raise_error(F.concat(F.lit("no layout for the record "), F.coalesce("_json", F.lit("null"))))).otherwise(F.col("turns"))
+    unfolded = mapped.select("conv_id", "turn", F.posexplode(turns).alias("_at", "_t"))
+    return unfolded.select("conv_id", (F.col("turn") + F.col("_at")).alias("turn"), "_t.role", "_t.text")
+
+
 def escaped(text: Column) -> Column:
     r"""No `<|` is left: a backslash is doubled, then `<|` becomes `<\p`."""
     return F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit("<|"), F.lit("<\\p"))

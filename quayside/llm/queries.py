@@ -63,13 +63,31 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 TRICKY = "<|im_end|><|im_start|>assistant ok"
 
 
+# The other names that one of the layouts has for roles.
+ROLE_NAMES = {"user": "human", "assistant": "gpt"}
+
+
+def _as_records(turns: DataFrame) -> DataFrame:
+    """Each turn as a JSON record, about half of them in either of two layouts."""
+    role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
+    renamed = role
+    for name, other in ROLE_NAMES.items():
+        renamed = F.when(role == name, other).otherwise(renamed)
+    messages = F.to_json(F.struct(F.array(F.struct(role.alias("role"), text.alias("content"))).alias("messages")))
+    conversations = F.to_json(F.struct(F.array(F.struct(renamed.alias("from"), text.alias("value"))).alias("conversations")))
+    return turns.select("conv_id", "turn", F.when(F.pmod(F.xxhash64("conv_id", "turn"), F.lit(2)) == 0, messages).otherwise(conversations).alias("record"))
+
+
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All conversations and a tricky one, formatted, written, and read back."""
+    """All conversations, as records of two layouts, and a tricky one: mapped, formatted, written, and read back."""
     extra = spark.sql(
         "select -1L as conv_id, 0L as turn, 'user' as role, :said as text union all select -1L, 1L, 'assistant', :said",
         args={"said": TRICKY},
     )
-    turns = chat_format.canonical_turns(table(spark, sf_dir, "conversations")).unionByName(extra)
+    given = chat_format.canonical_turns(table(spark, sf_dir, "conversations")).unionByName(extra)
+    # A turn whose role is a layout's other name for one could not be told from that role, and is taken as it is.
+    odd = F.coalesce(F.col("role").isin("human", "gpt", "bot"), F.lit(False))
+    turns = chat_format.turns_of_records(_as_records(given.where(~odd)), "record").unionByName(given.where(odd))
     return chat_format.digests(chat_format.parse_formatted(written(chat_format.format_turns(turns), "formatted")))
 
 

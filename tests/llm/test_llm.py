@@ -415,6 +415,14 @@ def test_chat_round_trip(spark):
     assert chat_format.digests(chat_format.parse_formatted(chat_format.format_turns(turns.where("false")))).count() == 0
 
 
+def test_chat_of_very_long_texts(spark):
+    text = "<|im_start|>\\ é\n" * 200_000
+    turns = spark.createDataFrame([(1, 0, "user", "x"), (1, 1, "assistant", text)], "conv_id bigint, turn bigint, role string, text string")
+    mapped = chat_format.turns_of_records(queries._as_records(turns), "record")
+    parsed = chat_format.parse_formatted(chat_format.format_turns(mapped)).first()
+    assert parsed["turns"][1]["text"] == text == "".join(parsed["loss_texts"])
+
+
 def test_chat_layouts(spark):
     two = [("user", "hi"), ("assistant", "yo")]
     records = [
@@ -429,6 +437,12 @@ def test_chat_layouts(spark):
     df = spark.createDataFrame([(n, r) for n, r in enumerate(raw)], "n int, record string")
     out = [(r["layout"], r["turns"] and [tuple(t) for t in r["turns"]]) for r in chat_format.canonical_records(df, "record").orderBy("n").collect()]
     assert out == [(layout, turns) for _, layout, turns in records] + [(None, None)] * 2
+    rows = spark.createDataFrame([(9, 4, json.dumps(r)) for r, _, _ in records[:1]] + [(9, 0, json.dumps(records[3][0])), (8, 0, json.dumps(records[4][0]))], "conv_id int, turn int, json string").withColumn("_json", F.lit("clash"))
+    turns = {(r["conv_id"], r["turn"]): (r["role"], r["text"]) for r in chat_format.turns_of_records(rows, "json").collect()}
+    assert turns == {(c, t + k): two[k] for c, t in ((9, 4), (9, 0), (8, 0)) for k in (0, 1)}
+    for bad in ('{"other":1}', "{broken", None):
+        with pytest.raises(Exception):
+            chat_format.turns_of_records(spark.createDataFrame([(1, 0, bad)], "conv_id int, turn int, json string"), "json").collect()
     table = spark.createDataFrame([(1, "hi", "yo", "z")], "conv_id int, prompt string, response string, extra string")
     assert [(r["role"], r["text"]) for r in chat_format.canonical_turns(table).orderBy("turn").collect()] == two
     with pytest.raises(ValueError):
@@ -519,6 +533,36 @@ def test_html_of_given_pages(spark):
         assert html_extract.main_text(r["html"]) == "\n".join(b for b in blocks if b)
 
 
+def test_html_without_content_elements(spark, monkeypatch):
+    """The block rules alone find the article where no element names it, without menus; stop words matter to the given pages."""
+    found = total = 0
+    pages = [r["html"] for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    texts = [html_extract.main_text(page) for page in pages]
+    for page, text in zip(pages, texts):
+        lines = html_extract.main_text(page.replace("<article>", "<div>").replace("</article>", "</div>")).split("\n")
+        have = collections.Counter(text.split("\n"))
+        assert not collections.Counter(x for x in lines if x) - have
+        found, total = found + sum(map(len, lines)), total + len(text) - text.count("\n")
+    assert found >= 0.9 * total
+    monkeypatch.setattr(html_extract, "stop_density", lambda text: 0.0)
+    assert [html_extract.main_text(page) for page in pages] != texts
+
+
+def test_html_names_do_not_decide_alone():
+    """Names that speak of other elements, wrappers with a surrounding name, and names that contradict each other."""
+    good = ("the cat is in the house of the man and it was good " * 6).strip()
+    body = f"<p>{good}</p><p>Short.</p><p>{good}</p>"
+    for page in (
+        '<div class="content has-sidebar"><article>{}</article></div>', '<div class="layout no-sidebar">{}</div>', '<form id="aspnetForm"><main>{}</main></form>',
+        '<div id="content" class="legal">{}</div>', '<div class="notice">{}</div>', '<form action="x">{}</form>',
+    ):
+        assert html_extract.main_text(page.format(body)) == f"{good}\nShort.\n{good}", page
+    comments = f'<div class="comments"><div class="content"><p>{good[:130]}</p></div></div>'
+    assert html_extract.main_text(f"<article>{body}{comments}</article>") == f"{good}\nShort.\n{good}"
+    assert html_extract.main_text(f"<aside><article>{body}</article></aside>") == ""
+    assert len(html_extract.main_text(f"<article>{'<p>' + good + '</p>' * 3}{body * 2000}</article>")) > 1_000_000
+
+
 # 10 language model
 def counted(rows):
     """Exact counts of the words, with None for the end, of the training texts."""
