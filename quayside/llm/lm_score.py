@@ -320,16 +320,20 @@ def _scored_by_shuffle(rows: DataFrame, model: LanguageModel, regions: DataFrame
 
     def answer(asked: pd.DataFrame, region: pd.DataFrame) -> pd.DataFrame:
         words = [np.frombuffer(x, np.uint64) for x in asked["words"]]
-        if not len(region):
-            counts, levels = [np.zeros(len(w), np.int64) for w in words], [bytes(len(g) // GRAM_BYTES) for g in asked["grams"]]
-        else:
+        grams = [unpacked(x, GRAM_BYTES) for x in asked["grams"]]
+        # All groups ask at once, and what several ask for is probed once.
+        some, word_at = np.unique(np.concatenate(words), return_inverse=True)
+        keys, gram_at = np.unique(np.concatenate(grams), return_inverse=True)
+        counts, levels = np.zeros(len(some), np.int64), np.zeros(len(keys), np.uint8)
+        if len(region):
             own, shard = _Region.of(region.iloc[0]), np.uint64(int(region["shard"].iloc[0]) << 8 * GRAM_BYTES)
-            counts = [own.word_counts(w) for w in words]
-            levels = [own.grams.levels(unpacked(g, GRAM_BYTES) + shard).astype(np.uint8).tobytes() for g in asked["grams"]]
+            counts, levels = own.word_counts(some), own.grams.levels(keys + shard).astype(np.uint8)
+        counts = np.split(counts[word_at], np.cumsum([len(w) for w in words])[:-1])
+        levels = np.split(levels[gram_at], np.cumsum([len(g) for g in grams])[:-1])
         # Most counts are small; the others are sent with their places.
         small = [np.minimum(c, 255).astype(np.uint8).tobytes() for c in counts]
         large = [c[c >= 255].tobytes() for c in counts]
-        return pd.DataFrame({"grp": asked["grp"], "shard": asked["shard"], "small": small, "large": large, "levels": levels})
+        return pd.DataFrame({"grp": asked["grp"], "shard": asked["shard"], "small": small, "large": large, "levels": [x.tobytes() for x in levels]})
 
     def settle(group: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         meta, texts = ungrouped(group["meta"].iloc[0], group["texts"].iloc[0])
