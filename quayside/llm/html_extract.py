@@ -51,7 +51,8 @@ TAG = re.compile(
 ATTRIBUTE = re.compile(r"""[\s/]*+([^\s/>][^\s/>=]*+)(?:\s*+=\s*+("[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z)|[^\s>]*+))?+""")
 NAMING = frozenset(("class", "id", "role", "itemprop"))
 NAME_CUT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
-EDGES = re.compile(r"^\W+|\W+$")
+# Signs that stand before and after words.
+EDGES = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»“”„‘’‚…–—·•¿¡©"
 
 # Thresholds for texts whose paragraphs have a quarter to a third of stop words, and a tenth where they are poor in them.
 MAX_LINK_DENSITY = 0.2
@@ -77,6 +78,8 @@ class Block:
     parts: list[str] = field(default_factory=list)
     link_chars: int = 0
     text: str = ""
+    links: float = 0.0
+    density: float = 0.0
     label: str = ""
 
 
@@ -189,21 +192,24 @@ def blocks_of(page: str) -> list[Block]:
 
 def stop_density(text: str) -> float:
     words = text.lower().split()
-    return sum(EDGES.sub("", w) in STOP_WORDS for w in words) / max(1, len(words))
+    return sum(w.strip(EDGES) in STOP_WORDS for w in words) / max(1, len(words))
 
 
-def _link_density(b: Block) -> float:
-    return b.link_chars / max(1, len("".join(b.text.split())))
+def _measure(b: Block) -> None:
+    """The shares of characters in links and of stop words, each computed once."""
+    b.links = b.link_chars / max(1, len("".join(b.text.split())))
+    if not b.surrounding:
+        b.density = stop_density(b.text)
 
 
 def _rich(b: Block) -> bool:
     """Long, with many stop words and few links: a paragraph, wherever it stands."""
-    return len(b.text) > LONG and stop_density(b.text) >= STOP_HIGH and _link_density(b) <= MAX_LINK_DENSITY
+    return len(b.text) > LONG and b.density >= STOP_HIGH and b.links <= MAX_LINK_DENSITY
 
 
 def in_known_language(blocks: list[Block]) -> bool:
     """Whether as many words of these blocks are stop words as in a poor paragraph of the languages of STOP_WORDS."""
-    words = [EDGES.sub("", w) for b in blocks for w in b.text.lower().split()]
+    words = [w.strip(EDGES) for b in blocks for w in b.text.lower().split()]
     return sum(w in STOP_WORDS for w in words) >= STOP_LOW * len(words)
 
 
@@ -213,7 +219,7 @@ def _first_label(b: Block, known: bool) -> str:
     In the content a block needs no length if it has some stop words, and none of these if it is very long or
     the content is in no `known` language. Surrounding elements have no good block.
     """
-    links, density, size = _link_density(b), stop_density(b.text), len(b.text)
+    links, density, size = b.links, b.density, len(b.text)
     if b.surrounding or b.named:
         return BAD
     if links > (MAX_CONTENT_LINK_DENSITY if b.content else MAX_LINK_DENSITY):
@@ -236,6 +242,8 @@ def classify(blocks: list[Block]) -> None:
     the rich text is in elements with a surrounding name, or outside of the content, these names are not
     believed, and place says nothing of them.
     """
+    for b in blocks:
+        _measure(b)
     rich = [(b, len(b.text)) for b in blocks if not b.surrounding and _rich(b)]
     if sum(n for b, n in rich if b.named) > sum(n for b, n in rich if not b.named):
         for b in blocks:
@@ -244,7 +252,9 @@ def classify(blocks: list[Block]) -> None:
         for b in blocks:
             b.content = False
     inside, outside = [b for b in blocks if b.content], [b for b in blocks if not b.content]
-    known = in_known_language(inside)
+    # Only blocks poor in stop words depend on the language.
+    poor = any(b.density < STOP_LOW and len(b.text) <= VERY_LONG for b in inside)
+    known = not poor or in_known_language(inside)
     for b in blocks:
         b.label = _first_label(b, known)
     # What stands around the content says nothing about it, and a page ends with what surrounds texts.
