@@ -665,12 +665,12 @@ def test_pipeline_on_odd_tables(spark, edge, empty, monkeypatch, tmp_path):
     for name, docs, ids in (("odd", edge.withColumns({c: F.lit(c) for c in ("_d", "_src", "_row")}), {1, 3, 4, 5, 6}), ("none", empty, set())):
         docs.write.parquet(f"file://{tmp_path}/sf/{name}.parquet")
         monkeypatch.setattr(corpus_pipeline, "table", lambda spark, sf_dir, table, name=name: spark.read.parquet(f"{sf_dir}/{name if table == 'documents' else table}.parquet"))
-        kept = spark.read.parquet(f"file://{tmp_path}/sf/{name}.parquet")
-        for _, stage in corpus_pipeline.STAGES[:3]:
-            kept = stage(spark, kept, f"file://{tmp_path}/sf")
-            assert kept.columns == docs.columns
-        assert {r["doc_id"] for r in kept.collect()} == ids
+        stages = []
+        real = corpus_pipeline.written
+        monkeypatch.setattr(corpus_pipeline, "written", lambda df, label, stages=stages: stages.append(real(df, label)) or stages[-1])
         packed = corpus_pipeline.run(spark, f"file://{tmp_path}/sf")
+        monkeypatch.setattr(corpus_pipeline, "written", real)
+        assert all(kept.columns == docs.columns for kept in stages[:4]) and {r["doc_id"] for r in stages[2].collect()} == ids
         assert {r["doc_id"] for r in packed.collect()} <= ids and "sequence_id" in packed.columns
 
 
