@@ -1 +1 @@
-"""Sources: delimited files, text lines, JSON documents, object listings, relational tables."""
+"""Sources: delimited files, text lines, JSON documents, dated scans, object listings."""

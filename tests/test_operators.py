@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quayside.functions.dates import as_date, run_date_predicate
 from quayside.functions.text import line_byte_count, word_count
 from quayside.operators import changes, checks, rollups
+from quayside.session import SESSION_CONF, build_session, shuffle_conf
 from quayside.sources.delimited import scan_csv, scan_delimited
 from quayside.sources.documents import promote_header
 from quayside.sources.listing import list_objects
@@ -114,3 +115,9 @@ def test_workspace(spark):
     assert name_parts("`a.b`.c") == ["a.b", "c"] and quoted("`a.b`.c") == "`a.b`.`c`"
     assert spark.sql(f"select {text_literal(chr(39) + chr(92) + 'x')} as v").first()[0] == "'\\x"
     assert new_path(spark, "p").startswith(spark.conf.get("spark.checkpoint.dir"))
+
+
+def test_session(spark):
+    assert shuffle_conf(1 << 40, 8) == {"spark.sql.shuffle.partitions": "8192"} and shuffle_conf(0, 8) == {"spark.sql.shuffle.partitions": "8"}
+    same = build_session(spark__sql__shuffle__partitions="4")
+    assert same.sparkContext is spark.sparkContext and all(spark.conf.get(key) == value for key, value in SESSION_CONF.items())
