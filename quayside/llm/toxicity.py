@@ -37,7 +37,7 @@ def _in_word(points: np.ndarray) -> np.ndarray:
 
 
 def _parts(text: str) -> Iterator[str]:
-    """Long texts in parts that end at white space, so that memory is bounded."""
+    """Long texts in parts that end at white space, so that memory is bounded; where there is none a part is longer."""
     start = 0
     while len(text) - start > PART_CHARS:
         m = re.compile(r"\s").search(text, start + PART_CHARS)
