@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
+from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -126,13 +127,17 @@ def _above(df: DataFrame, check: str, mark: Column | None) -> DataFrame:
 
 
 def incremental_import(
-    spark: SparkSession, source: DataFrame, table: str, check: str, keys: Sequence[str], *, mode: str = "append", partition: str | None = None
-) -> None:
+    spark: SparkSession, source: DataFrame, table: str, check: str, keys: Sequence[str], *,
+    mode: str = "append", partition: str | None = None, lookback: float | timedelta | None = None,
+) -> None:
     """Import the source rows at or above the mark, the largest `check` value imported so far.
 
     The mark is stored with the table after each import (MARK), so the table is read only from the mark
     upwards, a filter that reaches its scan; without a stored mark it is the table's largest value,
-    and an empty table imports all. A row below the mark is not imported.
+    and an empty table imports all. A row below the mark is not imported, unless `lookback` reaches it.
+
+    `lookback` (a number, or a time span for dates and timestamps) reads source and table from that much
+    below the mark, so rows that came late into the source are found as well. The mark does not go back.
 
     `append` adds every row with a key and check value that the table does not have, so an updated
     row, which has a higher check value, is added as a further version and none above the mark is dropped;
@@ -147,11 +152,15 @@ def incremental_import(
     """
     if mode not in ("append", "latest"):
         raise ValueError(f"unknown mode {mode}")
+    if lookback is not None and lookback < type(lookback)(0):
+        raise ValueError("lookback is negative")
     kind = source.schema[check].dataType
     stored = stored_mark(spark, table, check)
     if stored is None:
         stored = spark.table(quoted(table)).agg(F.max(f"`{check}`").cast("string")).first()[0]
     mark = None if stored is None else F.lit(stored).cast(kind)
+    if mark is not None and lookback is not None:
+        mark = (mark - F.lit(lookback)).cast(kind)
     is_null = F.col(f"`{check}`").isNull()
     fresh = source if mark is None else source.where(is_null | (F.col(f"`{check}`") >= mark))
     fresh = fresh.withColumn(check, F.when(is_null, F.raise_error(F.lit(f"{check} is NULL")).cast(kind)).otherwise(F.col(f"`{check}`")))

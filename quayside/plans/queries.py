@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import date
+from datetime import date, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -80,6 +80,16 @@ def incremental_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _imported(spark, sf_dir, "latest")
 
 
+def incremental_lookback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders of which a third come late: those of the last 60 days before the mark are still imported, and all above it."""
+    orders = dated_orders(spark, sf_dir)[0].drop("part")
+    target = new_table(spark, "late")
+    changes.recreate_table(spark, target, orders)
+    for source in (orders.where("upd < date'1996-01-01' and o_orderkey % 3 <> 0"), orders.where("upd < date'1996-01-01'"), orders):
+        changes.incremental_import(spark, source, target, "upd", ["o_orderkey"], lookback=timedelta(days=60))
+    return spark.table(quoted(target))
+
+
 def append_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders appended by year, each batch twice."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.year("o_orderdate").alias("o_year"))
@@ -323,6 +333,12 @@ ORACLES = {
              found as (select * from first union all select * from later where upd >= (select max(upd) from first where upd < date '1996-01-01'))
         select o_orderkey, arg_max(status, upd) as status, max(upd) as upd from found group by o_orderkey
     """,
+    "incremental_lookback": """
+        with first as (select o_orderkey, o_orderstatus as status, cast(o_orderdate as date) as upd from orders),
+             early as (select * from first where upd < date '1996-01-01' and o_orderkey % 3 <> 0)
+        select * from early union all
+        select * from first where upd >= (select max(upd) from early) - 60 and not (upd < date '1996-01-01' and o_orderkey % 3 <> 0)
+    """,
     "append_once": "select o_orderkey, o_custkey, cast(year(o_orderdate) as integer) as o_year from orders",
     "replace_partitions": """
         select o_orderkey, case when year(o_orderdate) >= 1996 then 'N' else o_orderstatus end as o_orderstatus, cast(year(o_orderdate) as integer) as o_year

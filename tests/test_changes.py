@@ -1,7 +1,7 @@
 """Imports, retries and exports: what they add, what a second run changes, and what their scans read."""
 
 import glob
-from datetime import date
+from datetime import date, datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -37,6 +37,33 @@ def test_import_keeps_updates_and_ties(spark, mode, want):
         assert changes.stored_mark(spark, name, "upd") == "21"
 
 
+@pytest.mark.parametrize("mode, want", [("append", [(1, 90, "a"), (2, 100, "b"), (2, 95, "older"), (3, 95, "late")]), ("latest", [(1, 90, "a"), (2, 100, "b"), (3, 95, "late")])])
+def test_import_of_late_rows(spark, mode, want):
+    """A row below the mark is imported as far down as `lookback` reaches, once; it does not replace a later one, and the mark stays."""
+    name = made(spark, [])
+    changes.incremental_import(spark, spark.createDataFrame([(1, 90, "a"), (2, 100, "b")], ROWS), name, "upd", ["id"], mode=mode)
+    later = spark.createDataFrame([(1, 90, "a"), (2, 100, "b"), (2, 95, "older"), (3, 95, "late"), (4, 94, "too late")], ROWS)
+    for _ in range(2):
+        changes.incremental_import(spark, later, name, "upd", ["id"], mode=mode, lookback=5)
+        assert content(spark, name) == want
+        assert changes.stored_mark(spark, name, "upd") == "100"
+    with pytest.raises(ValueError):
+        changes.incremental_import(spark, later, name, "upd", ["id"], mode=mode, lookback=-1)
+
+
+@pytest.mark.parametrize("kind, at", [("date", lambda k: date(2024, 3, 1) + timedelta(days=k)), ("timestamp", lambda k: datetime(2024, 3, 1, 12) + timedelta(days=k)), ("double", float)])
+def test_import_of_late_rows_by_type(spark, kind, at):
+    """Dates and timestamps take a time span, over the end of a month too."""
+    schema = f"id int, upd {kind}"
+    name = made(spark, [], schema)
+    back = 2.0 if kind == "double" else timedelta(days=2)
+    changes.incremental_import(spark, spark.createDataFrame([(1, at(0))], schema), name, "upd", ["id"], lookback=back)
+    late = spark.createDataFrame([(1, at(0)), (2, at(-2)), (3, at(-3))], schema)
+    for _ in range(2):
+        changes.incremental_import(spark, late, name, "upd", ["id"], lookback=back)
+        assert content(spark, name) == [(1, at(0)), (2, at(-2))]
+
+
 def test_import_after_a_lost_mark(spark):
     """Rows that an import has added before it could store its mark are not added again."""
     name = made(spark, [])
@@ -71,15 +98,16 @@ def test_import_by_date_in_partitions(spark):
         changes.incremental_import(spark, source, name, "upd", ["id"], mode="other")
 
 
-def test_import_reads_the_target_from_the_mark(spark, monkeypatch):
-    """The filter on the mark reaches the scan of the target."""
+@pytest.mark.parametrize("lookback, least", [(None, 11), (3, 8)])
+def test_import_reads_the_target_from_the_mark(spark, monkeypatch, lookback, least):
+    """The filter on the mark, less what is looked back, reaches the scan of the target."""
     name = made(spark, [(1, 10, "a")])
     source = spark.createDataFrame([(2, 11, "b")], ROWS)
     changes.incremental_import(spark, source, name, "upd", ["id"])
     plans = []
     monkeypatch.setattr(changes, "append_rows", lambda spark, table, rows: plans.append(rows._jdf.queryExecution().executedPlan().toString()))
-    changes.incremental_import(spark, source, name, "upd", ["id"])
-    assert "PushedFilters: [IsNotNull(upd), GreaterThanOrEqual(upd,11)" in plans[0]
+    changes.incremental_import(spark, source, name, "upd", ["id"], lookback=lookback)
+    assert f"PushedFilters: [IsNotNull(upd), GreaterThanOrEqual(upd,{least})" in plans[0]
 
 
 def test_append_once_refuses_a_key_twice(spark):
