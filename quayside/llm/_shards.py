@@ -13,6 +13,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quayside.llm._memory import tidied_batches
+
 GROUP_BYTES = 3_000_000
 LEAST_KEYS, MOST_KEYS = 1_000_000, 16_000_000
 KEYS_PER_ANSWER = 1000
@@ -85,7 +87,7 @@ def grouped_texts(docs: DataFrame, size: int) -> DataFrame:
         if texts:
             yield group()
 
-    return docs.mapInArrow(run, GROUPS).repartition("grp")
+    return docs.mapInArrow(tidied_batches(run), GROUPS).repartition("grp")
 
 
 def ungrouped(meta: bytes, texts: bytes) -> tuple[pa.Table, list[bytes]]:

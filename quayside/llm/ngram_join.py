@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quayside.llm._memory import tidied, tidied_batches
 from quayside.llm._shards import cuts, group_bytes, grouped_texts, ids_of, of_groups, shard_bits, summed, ungrouped, words_in
 from quayside.llm._shared import attach, components, join_by_key
 from quayside.llm._words import packed, shingles, unpacked
@@ -128,9 +129,9 @@ def _sets(docs: DataFrame, width: int, percent: int) -> DataFrame:
             out[name] = column
         return out
 
-    asked = groups.mapInArrow(ask, "shard int, grp bigint, keys binary, many binary, times binary")
-    answers = asked.groupBy("shard").applyInPandas(answer, "grp bigint, shard int, levels binary")
-    return groups.groupBy("grp").cogroup(answers.groupBy("grp")).applyInPandas(settle, SETS)
+    asked = groups.mapInArrow(tidied_batches(ask), "shard int, grp bigint, keys binary, many binary, times binary")
+    answers = asked.groupBy("shard").applyInPandas(lambda block: tidied(answer, block), "grp bigint, shard int, levels binary")
+    return groups.groupBy("grp").cogroup(answers.groupBy("grp")).applyInPandas(lambda group, answers: tidied(settle, group, answers), SETS)
 
 
 def _overlaps(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
@@ -283,7 +284,7 @@ def _verified(sets: DataFrame, percent: int, schema: str) -> DataFrame:
         return pd.DataFrame(dict(zip(names, np.concatenate(out, axis=1))))
 
     cell = F.pmod(F.xxhash64("a", "b"), F.lit(tasks)).alias("cell")
-    return written(dealt.groupBy(cell).applyInPandas(run, schema), "verified")
+    return written(dealt.groupBy(cell).applyInPandas(lambda rows: tidied(run, rows), schema), "verified")
 
 
 LINKED = "node bigint, low bigint, n_links bigint"

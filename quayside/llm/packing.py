@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quayside.llm._memory import tidied_batches
 from quayside.llm._shared import numbered
 from quayside.workspace import written
 
@@ -106,7 +107,7 @@ def pack(docs: DataFrame, ranks: str, pattern: str, *, longest: int = MAX_TOKENS
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], names=PIECE_COLUMNS)
 
     pieces = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(
-        run, ", ".join(f"{c} bigint" for c in PIECE_COLUMNS)
+        tidied_batches(run), ", ".join(f"{c} bigint" for c in PIECE_COLUMNS)
     )
     # Written first, because finding the ranges reads the pieces once more.
     in_buckets = numbered(written(pieces, "cut"), ["length", "doc_id", "start", "ids_crc32"], "sequence_id", "pieces")

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quayside.llm._memory import tidied_batches
+
 BUCKET_BITS = 17
 DIMENSIONS = 4
 SHORTEST, LONGEST = 3, 6
@@ -237,4 +239,4 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
             clean = [model.value.score(text.as_py() or "") < TOXIC_FROM for text in batch.column(at)]
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(clean, pa.bool_())) for c in batch.columns], names=names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidied_batches(run), docs.schema)
